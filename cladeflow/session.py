@@ -1,11 +1,29 @@
-"""Session helpers: shared checkpoint folder and table reading."""
+"""Session helpers: shared checkpoint folder, shipping the package to executors, and table reading."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in the Python workers of all executors; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cladeflow-code-")) / "cladeflow.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session.
@@ -33,4 +51,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The Parquet table ``name`` of a folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
