@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, table
-from . import distinct, packing, quantiles, tokens
+from . import distinct, packing, quantiles, subjects, tokens
 
 POINTS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 SCOPES = {"taxid": ["taxid"], "day": ["measured_on"], "all": []}
@@ -78,8 +78,20 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sized, "doc_id", "n_tokens")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    models = subjects.train(table(spark, sf_dir, "doc_labels"), documents, table(spark, sf_dir, "subjects"))
+    return subjects.document_subjects(documents, models)
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each subject, by source."""
+    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return p9_found(spark, sf_dir).join(sources, "doc_id").groupBy("source", "subject").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_percentiles, p2_within_bound, p4_distinct, p4_tumour_march, p7_ids, p8_containers)
+    f.__name__: f for f in (p2_percentiles, p2_within_bound, p4_distinct, p4_tumour_march, p7_ids, p8_containers, p9_found, p9_composition)
 }
 
 _CUBE = """
