@@ -64,7 +64,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide.wide_rows(table(spark, sf_dir, "umi_attr")).drop("torn")
+    return wide.wide_rows(table(spark, sf_dir, "umi_attr"), columns=list(wide.COLUMNS)).drop("torn")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
