@@ -15,6 +15,7 @@ from .extract import lca_pairs
 MIN_QUALITY = 53
 #: Bases that a read needs besides its commonest one.
 MIN_OTHER = 20
+BASES = "ACGTN"
 
 
 def passes_quality(qual: Column | str, lowest: int = MIN_QUALITY) -> Column:
@@ -31,10 +32,16 @@ def passes_complexity(seq: Column | str, others: int = MIN_OTHER) -> Column:
     seq = F.col(seq) if isinstance(seq, str) else seq
 
     def one(s: Column) -> Column:
-        most = F.array_max(F.transform(F.array_distinct(F.split(s, "")), lambda b: F.length(s) - F.length(F.replace(s, b, F.lit("")))))
-        return (F.length(s) < others) | (most <= F.length(s) - others)
+        n = F.length(s)
+        counts = [n - F.length(F.replace(s, F.lit(b), F.lit(""))) for b in BASES]
+        rest = F.length(F.translate(s, BASES, ""))
+        # the usual bases are counted without lambdas; others one by one only if together they are too many
+        any_of = F.array_max(F.transform(F.array_distinct(F.split(s, "")), lambda b: n - F.length(F.replace(s, b, F.lit("")))))
+        most = F.when(rest > n - others, any_of).otherwise(F.greatest(*counts))
+        return (n < others) | (most <= n - others)
 
-    return F.forall(F.split(seq, " "), one)
+    single = one(seq)
+    return F.when(F.contains(seq, F.lit(" ")), F.forall(F.split(seq, " "), one)).otherwise(single)
 
 
 def _checked_total(lca: Column, seq: Column) -> Column:
@@ -96,8 +103,8 @@ def count_reads(koutreads: DataFrame, report: DataFrame, barcode_tag: str | None
     ``umi_tag`` is given. Reads that fail the quality or the complexity filter, and those of taxids that the report doesn't
     have, are left out before tags and lists are looked at. With ``ranks`` only ancestors of these ranks are counted.
 
-    Distinct (barcode, taxid, k-mer) are made before the fan-out to ancestors, and the counts per read are summed by the
-    read's own taxid first, so that a deep lineage multiplies neither reads nor repeated k-mers.
+    Reads are summed, and distinct values reduced to the sets of taxids that have them, before the fan-out to ancestors:
+    a deep lineage multiplies counts, not reads or k-mers.
     """
     known = report.select("taxid").distinct()
     up = ancestors(report)
@@ -107,20 +114,30 @@ def count_reads(koutreads: DataFrame, report: DataFrame, barcode_tag: str | None
     reads = koutreads.filter(passes_quality("qual") & passes_complexity("seq")).join(known, "taxid", "left_semi")
     rows = reads.select(tag_value(barcode_tag).alias("barcode"), "taxid", tag_value(umi_tag).alias("umi"), "lca", "seq")
     keys = ["barcode", "ancestor"]
-    sums = rows.groupBy("barcode", "taxid").agg(F.count(F.lit(1)).alias("reads"), F.sum(kmer_count("lca", "seq")).alias("kmer_total"))
-    sums = sums.join(up, "taxid").groupBy(*keys).agg(F.sum("reads").alias("reads"), F.sum("kmer_total").alias("kmer_total"))
+
+    def summed(sums: DataFrame, name: str) -> DataFrame:
+        return sums.join(up, "taxid").groupBy(*keys).agg(F.sum("n").alias(name))
 
     def distinct(values: DataFrame, name: str) -> DataFrame:
-        return values.distinct().join(up, "taxid").select(*keys, "v").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+        # a value's taxids first: values of the same taxids are counted together, and only these counts fan out
+        sets = values.groupBy("barcode", "v").agg(F.sort_array(F.collect_set("taxid")).alias("taxids"))
+        patterns = sets.groupBy("barcode", "taxids").agg(F.count(F.lit(1)).alias("n"))
+        fanned = patterns.select("*", F.explode("taxids").alias("taxid")).join(up, "taxid").select(*keys, "taxids", "n").distinct()
+        return fanned.groupBy(*keys).agg(F.sum("n").alias(name))
 
     # explode_outer: from explode the optimizer would infer a condition on the k-mers, and so look at lists of reads that
     # the filters leave out
     each = rows.select("barcode", "taxid", F.explode_outer(kmers("lca", "seq")).alias("v")).filter(F.col("v").isNotNull())
-    unique = distinct(each, "kmer_unique")
-    out = sums.join(unique, keys, "left")
-    if umi_tag is not None:
-        out = out.drop("reads").join(distinct(rows.select("barcode", "taxid", F.col("umi").alias("v")), "reads"), keys)
-    return out.select("barcode", F.col("ancestor").alias("taxid"), "reads", "kmer_total", F.coalesce("kmer_unique", F.lit(0)).alias("kmer_unique"))
+    # one shuffle serves both: the k-mers' numbers sum to the total
+    times = each.groupBy("barcode", "v", "taxid").agg(F.count(F.lit(1)).alias("n"))
+    total = summed(times.groupBy("barcode", "taxid").agg(F.sum("n").alias("n")), "kmer_total")
+    unique = distinct(times.select("barcode", "v", "taxid"), "kmer_unique")
+    if umi_tag is None:
+        counted = summed(rows.groupBy("barcode", "taxid").agg(F.count(F.lit(1)).alias("n")), "reads")
+    else:
+        counted = distinct(rows.select("barcode", "taxid", F.col("umi").alias("v")), "reads")
+    out = counted.join(total, keys).join(unique, keys)
+    return out.select("barcode", F.col("ancestor").alias("taxid"), "reads", "kmer_total", "kmer_unique")
 
 
 def count_matrix(counts: DataFrame, value: str, barcodes: list[str]) -> DataFrame:
