@@ -91,6 +91,11 @@ def spearman_upper(s: float, n: int) -> float:
         values, upto = _spearman_counts(n)
         i = int(np.searchsorted(values, s, side="left"))
         return 1.0 - (upto[i - 1] / upto[-1] if i else 0.0)
+    return spearman_series(s, n)
+
+
+def spearman_series(s: float, n: int) -> float:
+    """P(S >= s) without ties, by the series."""
     c1, c2, c3, c4, c5, c6, c7, c8, c9, c10, c11, c12 = _EDGEWORTH
     b = 1 / n
     x = (6 * (s - 1) * b / (n * n - 1) - 1) * math.sqrt(1 / b - 1)

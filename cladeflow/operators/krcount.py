@@ -136,8 +136,12 @@ def count_reads(koutreads: DataFrame, report: DataFrame, barcode_tag: str | None
         counted = summed(rows.groupBy("barcode", "taxid").agg(F.count(F.lit(1)).alias("n")), "reads")
     else:
         counted = distinct(rows.select("barcode", "taxid", F.col("umi").alias("v")), "reads")
-    out = counted.join(total, keys).join(unique, keys)
-    return out.select("barcode", F.col("ancestor").alias("taxid"), "reads", "kmer_total", "kmer_unique")
+    # added up rather than joined: a join would make the optimizer look for null barcodes below the filters, and so at tags
+    # of reads that the filters leave out
+    names = ("reads", "kmer_total", "kmer_unique")
+    parts = [df.select(*keys, *[F.col(n) if n in df.columns else F.lit(None).cast("bigint").alias(n) for n in names]) for df in (counted, total, unique)]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+    return out.select("barcode", F.col("ancestor").alias("taxid"), *names)
 
 
 def count_matrix(counts: DataFrame, value: str, barcodes: list[str]) -> DataFrame:

@@ -72,9 +72,9 @@ def encode(column: str, text: str) -> object:
 
 def merge_cell(a: object, b: object) -> object:
     """Associative and commutative: of None and a value the value, of equal values that value, else TORN."""
-    if a is None or a == b:
-        return b
-    return TORN
+    if a is None or b is None:
+        return b if a is None else a
+    return a if a == b else TORN
 
 
 # An entity's registers: one slot for each column in use, None where no value came. However many rows an entity has, its

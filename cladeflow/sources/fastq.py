@@ -91,7 +91,7 @@ def _seek_record(f: io.BufferedIOBase, start: int, end: int) -> int | None:
         while len(window) < 4:
             raw = f.readline()
             if not raw:
-                return window[0][0] if window and window[0][0] < end and window[0][1].strip() else None
+                return None  # a rest of fewer lines is no record; the split before sees to it
             window.append((at, raw.rstrip(b"\r\n")))
             at += len(raw)
         if window[0][0] >= end:
@@ -117,6 +117,9 @@ def single_records(path: str, start: int = 0, end: int | None = None) -> Iterato
             if record is None or (end is not None and record[0] >= end):
                 return
             yield record
+        rest = [x for x in (lines.read() for _ in range(4)) if x is not None and x.strip()]
+        if 0 < len(rest) < 4 and lines.read() is None:
+            raise FastqError(f"FASTQ parse error: {path} ends with an incomplete record: {rest[0][:80]}")
 
 
 def paired_records(first: str, second: str) -> Iterator[tuple[Record, Record]]:
