@@ -62,10 +62,13 @@ class Plan:
 def least_cost(capacities: tuple[int, ...], costs: dict[int, float], size: int, left: int) -> int:
     """The bin size to open for an item of ``size`` with items of ``left`` in all still to place.
 
-    Of the sizes that hold the item, the one with the least cost for each unit that can be filled; the larger of equals.
+    Of the sizes that hold the item, the one with the least cost a unit; where all that is left fits into the largest, the
+    one that holds it at the least cost. The larger of equals.
     """
     fit = [c for c in capacities if c >= size]
-    return min(fit, key=lambda c: (costs[c] / min(c, max(left, size)), -c))
+    if left > capacities[-1]:
+        return min(fit, key=lambda c: (costs[c] / c, -c))
+    return min(fit, key=lambda c: (costs[c] * max(1, -(-left // c)), -c))
 
 
 def plan_packing(counts: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, costs: dict[int, float] | None = None) -> Plan:
@@ -117,7 +120,9 @@ def plan_packing(counts: dict[int, int], capacities: tuple[int, ...] = CAPACITIE
             else:
                 capacity = least_cost(capacities, costs, size, left)
                 several = capacity // size if size else n
-                group = _Group(bins, max(1, n // several if left >= n * size and least_cost(capacities, costs, size, max(0, left - n * size)) == capacity else 1), capacity, 0)
+                # as many bins at once as the choice of size stays the same for
+                alike = min(n // several, (left - capacities[-1]) // (several * size)) if size else 1
+                group = _Group(bins, max(1, alike), capacity, 0)
                 bins += group.bins
             done = put(group, size, rank, n)
             rank, n, left = rank + done, n - done, left - done * size

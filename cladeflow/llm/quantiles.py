@@ -68,7 +68,8 @@ def compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, k: int) ->
     n = np.zeros(int(keys[-1] >> base) + 1, np.int64)
     np.add.at(n, keys >> base, counts)
     limit = n // k
-    large = limit[keys >> base] > 0
+    # each group's largest leaf stays a leaf: no value above it is ever reported
+    large = (limit[keys >> base] > 0) & np.r_[keys[1:] >> base == keys[:-1] >> base, False]
     done_k, done_c = [keys[~large]], [counts[~large]]
     keys, counts = keys[large], counts[large]
     if len(keys):
@@ -200,12 +201,14 @@ def read_percentiles(digests: DataFrame, keys: list[str], percentiles: list[floa
             raise ValueError("a percentile must be from 0 to 1")
     depth = F.length(F.bin("node")) - 1
     last = F.expr(f"shiftleft(node + 1, {HEIGHT} - (length(bin(node)) - 1)) - 1 - {1 << HEIGHT}")
-    nodes = digests.withColumn("leaf", last).withColumn("depth", depth)
-    order = Window.partitionBy(*keys).orderBy("leaf", F.col("depth").desc())
     whole = Window.partitionBy(*keys)
+    largest = F.max(F.when(F.col("node") >= (1 << HEIGHT), F.col("node") - (1 << HEIGHT))).over(whole)
+    nodes = digests.withColumn("leaf", F.least(last, largest)).withColumn("depth", depth)
+    order = Window.partitionBy(*keys).orderBy("leaf", F.col("depth").desc())
     ranked = nodes.withColumn("upto", F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("count").over(whole))
     found = [F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.lit(float(p)) * F.col("n")), F.lit(1)), F.col("leaf"))).alias(f"q{i}") for i, p in enumerate(percentiles)]
     wide = ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(F.col("node") < (1 << HEIGHT), 1).otherwise(0)).alias("inner"), *found)
+    wide = wide.filter(F.col("n").isNotNull())
     long = wide.select(*keys, "n", "inner", F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(f"q{i}").alias("leaf")) for i, p in enumerate(percentiles)])).alias("x"))
     return long.select(*keys, F.col("x.p").alias("p"), _value(F.col("x.leaf")).alias("value"), "n", "inner")
 

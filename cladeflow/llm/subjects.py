@@ -1,10 +1,11 @@
 """Subject areas of each document by subject-specific interpolated n-gram language models.
 
 For every subject a bigram model of its sentences is trained, interpolated by Witten-Bell weights with its unigrams and
-with a background model of all sentences. A sentence's gain for a subject is its length times the difference of per-token
-cross-entropies, background less subject. Sentences whose best gain reaches a calibrated threshold bear a subject; which
-one is told by the gains and by the shares of the subjects in the rest of the document. A document has every subject that
-at least a quarter of its subject-bearing sentences treat.
+with a model of all sentences. A sentence's gain for a subject is its length times the difference of per-token
+cross-entropies, background less subject; the background models of a subject are those of the other subjects and of all
+sentences, mixed, so that what all subjects have in common gains nothing. Sentences whose best gain reaches a calibrated
+threshold bear a subject; which one is told by the models and by the shares of the subjects in the rest of the document.
+A document has every subject that at least a quarter of its subject-bearing sentences treat.
 
 The labels are of documents, incomplete and partly wrong, while models are of sentences: training starts with all
 sentences of a document under its labels, then assigns the sentences anew by the models and trains on those, a few times.
@@ -32,7 +33,7 @@ MIX = 0.3
 ROUNDS = 4
 #: Gains (in nats) that the threshold is chosen among.
 THRESHOLDS = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0)
-#: Gain needed while training.
+#: Gain (in nats) needed while training.
 FIRST_THRESHOLD = 1.5
 #: Share of a document's subject-bearing sentences that a subject needs.
 SHARE = 0.25
@@ -109,8 +110,8 @@ class Models:
     word_gain: np.ndarray
     threshold: float = FIRST_THRESHOLD
 
-    def gains(self, s: Sentences) -> np.ndarray:
-        """Gain of each sentence for each subject."""
+    def ratios(self, s: Sentences) -> np.ndarray:
+        """Log ratio of each sentence's probability by each subject's model to that by the model of all sentences."""
         if not len(s.starts):
             return np.zeros((0, len(self.subjects)), np.float32)
         key = s.before * (len(self.vocabulary) + 1) + s.word
@@ -119,11 +120,22 @@ class Models:
         each = np.where(seen[:, None], self.pair_gain[i], self.word_gain[s.word])
         return np.add.reduceat(each, s.starts, axis=0)
 
-    def assign(self, s: Sentences, gains: np.ndarray, threshold: float | None = None) -> np.ndarray:
+    @staticmethod
+    def gains(ratios: np.ndarray) -> np.ndarray:
+        """Best gain of each sentence over a subject's background models."""
+        if not len(ratios):
+            return np.zeros(0)
+        x = np.c_[ratios.astype(np.float64), np.zeros(len(ratios))]  # the last is the model of all sentences
+        best = x[:, :-1].argmax(1)
+        own = x[np.arange(len(x)), best]
+        x[np.arange(len(x)), best] = -np.inf
+        top = x.max(1)
+        return own - (top + np.log(np.exp(x - top[:, None]).sum(1) / (x.shape[1] - 1)))
+
+    def assign(self, s: Sentences, ratios: np.ndarray, threshold: float | None = None) -> np.ndarray:
         """Subject of each sentence, -1 of one that bears none; documents' other sentences weigh in."""
-        threshold = self.threshold if threshold is None else threshold
-        bears = gains.max(1) >= threshold if len(gains) else np.zeros(0, bool)
-        g, doc = gains[bears].astype(np.float64), s.doc[bears]
+        bears = self.gains(ratios) >= (self.threshold if threshold is None else threshold)
+        g, doc = ratios[bears].astype(np.float64), s.doc[bears]
         k = len(self.subjects)
         prior = np.full((s.docs, k), 1.0 / k)
         for _ in range(4):
@@ -132,7 +144,7 @@ class Models:
             p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
             sums = np.stack([np.bincount(doc, p[:, j], s.docs) for j in range(k)], 1)
             prior = (sums + 0.02) / (sums.sum(1, keepdims=True) + 0.02 * k)
-        out = np.full(len(gains), -1)
+        out = np.full(len(ratios), -1)
         if len(g):
             out[bears] = (g + np.log(prior[doc])).argmax(1)
         return out
@@ -147,7 +159,7 @@ class Models:
     def accepted(self, docs: list[list[str]]) -> list[list[int]]:
         """Numbers of the subjects of each document."""
         s = number(docs, self.vocabulary)
-        shares = self.shares(s, self.assign(s, self.gains(s)))
+        shares = self.shares(s, self.assign(s, self.ratios(s)))
         return [np.flatnonzero(row >= SHARE - 1e-9).tolist() for row in shares]
 
 
@@ -174,16 +186,15 @@ def fit(docs: list[list[str]], labels: list[list[str]], subjects: list[str]) ->
         keys, pair_gain, word_gain, _ = _models(s, weight, size)
         models = Models(subjects, vocabulary, keys, pair_gain, word_gain)
         if turn < ROUNDS:
-            assigned = models.assign(s, models.gains(s), FIRST_THRESHOLD)
+            assigned = models.assign(s, models.ratios(s), FIRST_THRESHOLD)
             weight = np.zeros_like(weight)
             weight[np.flatnonzero(assigned >= 0), assigned[assigned >= 0]] = 1
-    # the threshold with which the accepted subjects agree best with the labels; the higher of equals
-    gains, best = models.gains(s), (-1.0, 0.0)
+    # the lowest threshold with which the accepted subjects agree with the labels nearly as well as with the best
+    ratios, agree = models.ratios(s), []
     for t in THRESHOLDS:
-        found = models.shares(s, models.assign(s, gains, t)) >= SHARE - 1e-9
-        hits = (found & (given > 0)).sum()
-        best = max(best, (2 * hits / max(found.sum() + given.sum(), 1), t))
-    models.threshold = best[1]
+        found = models.shares(s, models.assign(s, ratios, t)) >= SHARE - 1e-9
+        agree.append(2 * (found & (given > 0)).sum() / max(found.sum() + given.sum(), 1))
+    models.threshold = next(t for t, x in zip(THRESHOLDS, agree) if x >= max(agree) - 0.005)
     return models
 
 
