@@ -82,11 +82,6 @@ def quantile_test(
     return QuantileTest(data, pvalues, unmatched, significant, truly)
 
 
-def _enough(rows: DataFrame, group: list[str], least: int) -> DataFrame:
-    counted = rows.withColumn("__len", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    return counted.filter(F.col("__len") >= least).drop("__len")
-
-
 def sample_level(
     reports: DataFrame,
     method: str = "spearman",
@@ -98,9 +93,9 @@ def sample_level(
     """``taxid, taxon, r1, r2, r3, p1, p2, p3``: correlations over samples of minimizer_len with minimizer_n_unique (1), of
     minimizer_len with total_reads (2) and of total_reads with minimizer_n_unique (3), for taxa with enough rows."""
     rows = reports.filter((F.col("total_reads") >= min_reads) & (F.col("minimizer_n_unique") >= min_minimizer_n_unique))
-    rows = _enough(rows.select("taxid", "taxon", "total_reads", "minimizer_len", "minimizer_n_unique"), ["taxid", "taxon"], min_samples)
+    rows = rows.select("taxid", "taxon", "total_reads", "minimizer_len", "minimizer_n_unique")
     pairs = [("minimizer_len", "minimizer_n_unique", "r1", "p1"), ("minimizer_len", "total_reads", "r2", "p2"), ("total_reads", "minimizer_n_unique", "r3", "p3")]
-    found = stats.correlate(rows, ["taxid", "taxon"], pairs, method, **test)
+    found = stats.correlate(rows, ["taxid", "taxon"], pairs, method, min_rows=min_samples, **test)
     return found.select("taxid", "taxon", "r1", "r2", "r3", "p1", "p2", "p3")
 
 
@@ -117,8 +112,8 @@ def barcode_level(
     over the taxa (of each sample)."""
     by = [] if sample is None else [sample]
     group = [*by, "taxid", "taxon"]
-    rows = _enough(kmers.filter(F.col("kmer_len") >= min_kmer_len).select(*group, "kmer_len", "kmer_n_unique"), group, min_cells)
-    found = stats.correlate(rows, group, [("kmer_len", "kmer_n_unique", "cor", "pvalue")], method, **test)
+    rows = kmers.filter(F.col("kmer_len") >= min_kmer_len).select(*group, "kmer_len", "kmer_n_unique")
+    found = stats.correlate(rows, group, [("kmer_len", "kmer_n_unique", "cor", "pvalue")], method, min_rows=min_cells, **test)
     return stats.adjust_p(found, "pvalue", p_adjust, by)
 
 

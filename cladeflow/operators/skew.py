@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +37,15 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> tuple[list[object], int
         raise ValueError("share must be above 0 and at most 1")
     counts = df.select(F.col(f"`{key}`").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     total = df.count()
-    rows = counts.filter(F.col("k").isNotNull() & (F.col("n") >= F.lit(share * total))).collect()
+    rows = counts.filter(F.col("k").isNotNull() & (F.col("n") >= least_rows(share, total))).collect()
     return [r["k"] for r in rows], total
 
 
+def least_rows(share: float, total: int) -> int:
+    """The smallest number of rows that is at least ``share`` of ``total``."""
+    return math.ceil(Fraction(str(share)) * total)
+
+
 def _salt(key: Column, heavy: list[object], salts: int, seed: int) -> Column:
     if not heavy:
         return F.lit(0)
@@ -111,4 +118,4 @@ def keys_holding(df: DataFrame, key: str, share: float) -> DataFrame:
     """
     heavy, total = heavy_keys(df, key, share)
     counts = salted_aggregate(df, key, [Agg("n", "count")], share=share, heavy=heavy)
-    return counts.filter(F.col("key_value").isNotNull() & (F.col("n") >= F.lit(share * total)))
+    return counts.filter(F.col("key_value").isNotNull() & (F.col("n") >= least_rows(share, total)))

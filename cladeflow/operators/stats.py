@@ -29,13 +29,6 @@ def one_of(value: str, choices: tuple[str, ...], what: str) -> str:
     return found[0]
 
 
-def average_rank(value: Column, group: list[str]) -> Column:
-    """Rank within the group; ties share the mean of their ranks."""
-    first = F.rank().over(Window.partitionBy(*group).orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-    return first + (ties - 1) / 2
-
-
 def _tail(t: np.ndarray, df: np.ndarray, alternative: str) -> np.ndarray:
     upper = D.t_upper(t, df)
     return {"greater": upper, "less": 1 - upper}.get(alternative, np.minimum(1, 2 * np.minimum(upper, 1 - upper)))
@@ -54,6 +47,35 @@ def _kendall(rows: DataFrame, group: list[str], pairs: list[tuple[str, str, str,
     return rows.select(*group, *dict.fromkeys(c for x, y, _, _ in pairs for c in (x, y))).groupBy(*group).applyInArrow(run, schema)
 
 
+def _moments(rows: DataFrame, group: list[str], x: str, y: str, spearman: bool) -> DataFrame:
+    """``group, r, n, tied, rows``: estimate, number of pairs, whether either has ties, and number of rows.
+
+    Ranks are made from the counts of distinct pairs of values, so that a group with many rows sorts only its values.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    values = rows.select(*group, F.when(both, F.col(x).cast("double")).alias("__x"), F.when(both, F.col(y).cast("double")).alias("__y"))
+    if not spearman:
+        cx, cy = F.col("__x"), F.col("__y")
+        sums = values.groupBy(*group).agg(F.covar_pop(cx, cy).alias("xy"), F.var_pop(cx).alias("xx"), F.var_pop(cy).alias("yy"), F.count(cx).alias("n"), F.lit(True).alias("tied"), F.count(F.lit(1)).alias("rows"))
+    else:
+        counts = values.groupBy(*group, "__x", "__y").agg(F.count(F.lit(1)).alias("c"))
+        counts = counts.withColumn("w", F.when(F.col("__x").isNotNull(), F.col("c")).otherwise(0))
+        total = F.sum("w").over(Window.partitionBy(*group))
+        columns: dict[str, Column] = {}
+        for v, out in (("__x", "x"), ("__y", "y")):
+            upto = F.sum("w").over(Window.partitionBy(*group).orderBy(v).rangeBetween(Window.unboundedPreceding, 0))
+            ties = F.sum("w").over(Window.partitionBy(*group, v))
+            # the mean of the ranks is (n + 1) / 2
+            columns |= {out: upto - (ties - 1) / 2 - (total + 1) / 2, f"t{out}": ties}
+        ranked = counts.withColumns(columns)
+        w, cx, cy = F.col("w"), F.col("x"), F.col("y")
+        tied = F.greatest(F.max("tx"), F.max("ty")) > 1
+        sums = ranked.groupBy(*group).agg(F.sum(w * cx * cy).alias("xy"), F.sum(w * cx * cx).alias("xx"), F.sum(w * cy * cy).alias("yy"), F.sum(w).alias("n"), tied.alias("tied"), F.sum("c").alias("rows"))
+    ratio = F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy"))
+    r = F.when((F.col("n") >= 2) & ratio.isNotNull(), F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)))
+    return sums.select(*group, r.alias("r"), "n", "tied", "rows")
+
+
 def correlate(
     rows: DataFrame,
     group: list[str],
@@ -62,42 +84,29 @@ def correlate(
     alternative: str = "two.sided",
     exact: bool | None = None,
     continuity: bool = False,
+    min_rows: int = 1,
 ) -> DataFrame:
     """``group`` and, for each of ``pairs`` (x, y, name of estimate, name of p-value), a correlation test per group.
 
-    Rows with a null in x or y don't count for that pair. With fewer than two values, or where one of them doesn't vary,
-    the estimate and p are null; Pearson's p also with fewer than three. Spearman's p is exact below 1290 values without
-    ties (unless ``exact`` is False), else by the t approximation, as Pearson's is; for Kendall see
-    :func:`..functions.distributions.kendall`, whose groups are gathered.
+    Groups with fewer than ``min_rows`` rows are left out. Rows with a null in x or y don't count for that pair. With fewer
+    than two values, or where one of them doesn't vary, the estimate and p are null; Pearson's p also with fewer than three.
+    Spearman's p is exact below 1290 values without ties (unless ``exact`` is False), else by the t approximation, as
+    Pearson's is; for Kendall see :func:`..functions.distributions.kendall`, whose groups are gathered.
     """
     method, alternative = one_of(method, METHODS, "method"), one_of(alternative, ALTERNATIVES, "alternative")
     if method == "kendall":
-        return _kendall(rows, group, pairs, alternative, exact, continuity)
-    work, sums = rows, []
+        counted = rows.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+        return _kendall(counted.filter(F.col("__rows") >= min_rows), group, pairs, alternative, exact, continuity)
+    parts = None
     for i, (x, y, _, _) in enumerate(pairs):
-        both = F.col(x).isNotNull() & F.col(y).isNotNull()
-        for c, name in ((x, f"x{i}"), (y, f"y{i}")):
-            value = F.when(both, F.col(c).cast("double"))
-            work = work.withColumn(name, value)
-    if method == "spearman":
-        for i in range(len(pairs)):
-            for name in (f"x{i}", f"y{i}"):
-                # nulls sort first and are ranked among themselves; their number is taken off the others' ranks
-                nulls = F.count_if(F.col(name).isNull()).over(Window.partitionBy(*group))
-                work = work.withColumn(f"{name}_r", F.when(F.col(name).isNotNull(), average_rank(F.col(name), group) - nulls))
-    for i in range(len(pairs)):
-        x, y = (F.col(f"{v}{i}_r" if method == "spearman" else f"{v}{i}") for v in "xy")
-        sums += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mx{i}"), F.avg(y).alias(f"my{i}"), F.var_pop(x).alias(f"vx{i}"), F.var_pop(y).alias(f"vy{i}"), F.covar_pop(x, y).alias(f"c{i}")]
-        if method == "spearman":
-            sums += [(F.count_distinct(x) < F.count(x)).alias(f"tx{i}"), (F.count_distinct(y) < F.count(y)).alias(f"ty{i}")]
-    moments = work.groupBy(*group).agg(*sums)
-    for i, (_, _, r, _) in enumerate(pairs):
-        root = F.sqrt(F.col(f"vx{i}")) * F.sqrt(F.col(f"vy{i}"))
-        ratio = F.try_divide(F.col(f"c{i}"), root)
-        moments = moments.withColumn(r, F.when((F.col(f"n{i}") >= 2) & ratio.isNotNull(), F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0))))
-        tied = (F.col(f"tx{i}") | F.col(f"ty{i}")) if method == "spearman" else F.lit(True)
-        moments = moments.withColumn(f"tied{i}", tied)
-    source = moments.select(*group, *[F.col(c) for i, (_, _, r, _) in enumerate(pairs) for c in (r, f"n{i}", f"tied{i}")])
+        own = _moments(rows, group, x, y, method == "spearman")
+        named = {"r": F.lit(None).cast("double"), "n": F.lit(None).cast("bigint"), "tied": F.lit(None).cast("boolean")}
+        shown = [(F.col(c) if k == i else empty).alias(f"{c}{k}") for k in range(len(pairs)) for c, empty in named.items()]
+        part = own.filter(F.col("rows") >= min_rows).select(*group, *shown)
+        parts = part if parts is None else parts.unionByName(part)
+    if len(pairs) > 1:
+        parts = parts.groupBy(*group).agg(*[F.max(c).alias(c) for c in parts.columns if c not in group])
+    source = parts.select(*group, *[F.col(f"{c}{i}") for i in range(len(pairs)) for c in ("r", "n", "tied")])
     schema = T.StructType([source.schema[g] for g in group] + [T.StructField(n, T.DoubleType()) for _, _, r, p in pairs for n in (r, p)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

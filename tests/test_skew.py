@@ -54,3 +54,7 @@ def test_bad_arguments(spark):
         skew.Agg("n", "sum")
     with pytest.raises(ValueError, match="share"):
         skew.heavy_keys(spark.range(1), "id", 0)
+
+
+def test_share_is_exact():
+    assert [skew.least_rows(s, n) for s, n in ((0.02, 100), (0.02, 101), (0.07, 100), (0.29, 100), (1.0, 3), (0.1, 0))] == [2, 3, 7, 29, 3, 0]
