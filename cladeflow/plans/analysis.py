@@ -211,12 +211,12 @@ def barcode_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def denoise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline over all samples."""
+    """The whole pipeline over all samples, with every test's sign and significance limits wide open for small tables."""
     reports = _report(spark, sf_dir).withColumnRenamed("sample_id", "sample")
     kmers = table(spark, sf_dir, "kmer").withColumnsRenamed({"taxa": "taxon", "sample_id": "sample"})
     umis = table(spark, sf_dir, "umi").withColumnRenamed("sample_id", "sample")
     lines = table(spark, sf_dir, "cell_lines").filter(~F.isnan("rpmm"))
-    found = denoise.denoise_counts(reports, kmers, umis, lines, RANKS, taxa=_microbes(spark, sf_dir), drop_unmatched=False, alpha=1.0, p_threshold=0.5, padj_threshold=0.5)
+    found = denoise.denoise_counts(reports, kmers, umis, lines, RANKS, taxa=_microbes(spark, sf_dir), drop_unmatched=False, alpha=1.1, p_threshold=1.1, padj_threshold=1.1)
     return found.counts
 
 
@@ -289,6 +289,17 @@ def _rho(x: str, y: str, rows: str) -> str:
     rank() OVER (PARTITION BY taxid, taxon ORDER BY {y}) + (count(*) OVER (PARTITION BY taxid, taxon, {y}) - 1) / 2 AS b FROM {rows}) GROUP BY ALL)"""
 
 
+_ENOUGH = """enough AS (
+  SELECT * FROM (SELECT taxid, taxon, total_reads, minimizer_len, minimizer_n_unique, count(*) OVER (PARTITION BY taxid, taxon) AS c FROM report WHERE total_reads >= 3 AND minimizer_n_unique >= 3) WHERE c >= 3
+)"""
+_RHOS = f"""{_rho("minimizer_len", "minimizer_n_unique", "enough")} a
+JOIN {_rho("minimizer_len", "total_reads", "enough")} b USING (taxid, taxon) JOIN {_rho("total_reads", "minimizer_n_unique", "enough")} c USING (taxid, taxon)"""
+_COUNTS = (
+    "SELECT {sample}, barcode, taxid, taxa, rank, "
+    + ", ".join(f"taxon[nullif(list_position(ranks, '{r}'), 0)] AS \"{ranks_of.NAMES[r[0]] + r[1:]}\"" for r in RANKS)
+    + ", counts FROM (SELECT sample_id, barcode, taxid, taxa, rank, taxon, ranks, count(DISTINCT umi) + max((umi IS NULL)::INTEGER) AS counts FROM umi {where} GROUP BY ALL)"
+)
+
 SQL: dict[str, str] = {
     "report_lineage": _TREE
     + "\nSELECT report_id, row_id, rank, taxid, taxon, level, array_to_string(list_transform(lineage, lambda x: x.rank || ':' || x.taxid || ':' || x.taxon), '|') AS lineage FROM report",
@@ -324,9 +335,16 @@ FROM kept JOIN up USING (taxid) GROUP BY barcode, ancestor""",
     "krcount_bulk": f"""{_TREE}, {_CELLS}, {_UP}, {_KMERS}
 SELECT '' AS barcode, ancestor AS taxid, count(*) AS reads, sum(len(kmers))::BIGINT AS kmer_total, len(list_distinct(flatten(list(kmers)))) AS kmer_unique
 FROM kept JOIN up USING (taxid) GROUP BY ancestor""",
-    "taxa_counts": "SELECT sample_id, barcode, taxid, taxa, rank, "
-    + ", ".join(f"taxon[nullif(list_position(ranks, '{r}'), 0)] AS \"{ranks_of.NAMES[r[0]] + r[1:]}\"" for r in RANKS)
-    + ", counts FROM (SELECT sample_id, barcode, taxid, taxa, rank, taxon, ranks, count(DISTINCT umi) + max((umi IS NULL)::INTEGER) AS counts FROM umi GROUP BY ALL)",
+    "taxa_counts": _COUNTS.format(sample="sample_id", where=""),
+    "denoise_counts": f"""{_TREE}, {_RPMM}, {_ENOUGH}, varied AS (
+  SELECT sample_id, taxid FROM (SELECT *, count(*) OVER (PARTITION BY sample_id, taxid, taxa) AS c FROM kmer WHERE kmer_len >= 3)
+  WHERE c >= 3 AND kmer_n_unique IS NOT NULL GROUP BY sample_id, taxid, taxa HAVING count(DISTINCT kmer_len) > 1 AND count(DISTINCT kmer_n_unique) > 1
+    AND (count(*) > 2 OR (count(DISTINCT kmer_len) = 2 AND count(DISTINCT kmer_n_unique) = 2))
+), alike AS (
+  SELECT taxid FROM {_RHOS} WHERE a.r > 0 AND b.r > 0 AND c.r > 0
+)
+"""
+    + _COUNTS.format(sample="sample_id AS sample", where="WHERE (sample_id, taxid) IN (SELECT sample_id, taxid FROM varied) AND taxid IN (SELECT taxid FROM alike) AND taxid IN (SELECT taxid FROM own)"),
     "rpmm": f"{_TREE}, {_RPMM}\nSELECT report_id::VARCHAR AS sample, taxid, taxon, round(rpmm, 6) AS rpmm FROM own",
     "quantile_test": f"{_TREE}, {_TEST}\nSELECT taxid, taxon, reference, round(pvalue, 9) AS pvalue FROM pvalues",
     "quantile_unmatched": f"{_TREE}, {_TEST}\nSELECT DISTINCT taxid FROM pvalues WHERE reference IS NULL",
@@ -339,11 +357,7 @@ FROM kept JOIN up USING (taxid) GROUP BY ancestor""",
 )
 SELECT taxid, taxon, round(pvalue, 9) AS pvalue, round(holm, 9) AS holm, round(hochberg, 9) AS hochberg, round(bonferroni, 9) AS bonferroni, round(bh, 9) AS bh, round("by", 9) AS "by" FROM adjusted
 UNION ALL SELECT taxid, taxon, NULL, NULL, NULL, NULL, NULL, NULL FROM pvalues WHERE pvalue IS NULL""",
-    "sample_correlation": f"""{_TREE}, enough AS (
-  SELECT * FROM (SELECT taxid, taxon, total_reads, minimizer_len, minimizer_n_unique, count(*) OVER (PARTITION BY taxid, taxon) AS c FROM report WHERE total_reads >= 3 AND minimizer_n_unique >= 3) WHERE c >= 3
-)
-SELECT taxid, taxon, a.r AS r1, b.r AS r2, c.r AS r3 FROM {_rho("minimizer_len", "minimizer_n_unique", "enough")} a
-JOIN {_rho("minimizer_len", "total_reads", "enough")} b USING (taxid, taxon) JOIN {_rho("total_reads", "minimizer_n_unique", "enough")} c USING (taxid, taxon)""",
+    "sample_correlation": f"{_TREE}, {_ENOUGH}\nSELECT taxid, taxon, a.r AS r1, b.r AS r2, c.r AS r3 FROM {_RHOS}",
     "barcode_correlation": """
 SELECT sample_id, taxid, taxa AS taxon, CASE WHEN count(kmer_n_unique) < 2 OR isnan(corr(kmer_len, kmer_n_unique)) THEN NULL ELSE round(corr(kmer_len, kmer_n_unique), 9) + 0.0 END AS cor
 FROM (SELECT *, count(*) OVER (PARTITION BY sample_id, taxid, taxa) AS c FROM kmer WHERE kmer_len >= 3) WHERE c >= 3 GROUP BY ALL""",
