@@ -1,7 +1,8 @@
 """Queries of the analysis operators over whole tables, and their SQL.
 
 The tables hold no base sequences, so reads are derived from them by the same text functions on either side: a read of an
-umi row is its barcode and UMI forwards and backwards, a read of a classification row has its length in repeated bases.
+umi row is its barcode and UMI forwards and backwards, a read of a classification row has its length in repeated bases. A
+pair has both lengths, and before mate 1 a barcode and a UMI made from the id, which are cut off before the join.
 """
 
 from __future__ import annotations
@@ -104,6 +105,34 @@ def reads_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_reads(reads, ids).select("id", "seq")
 
 
+def _classified_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Classifications of pairs with a taxid, and a pair for each of their ids."""
+    rows = table(spark, sf_dir, "koutput").withColumn("taxid", extract.taxid_of("taxid_text"))
+    rows = rows.filter(F.col("taxid").isNotNull() & F.col("length").rlike("^[0-9]+[:|][0-9]+$"))
+    least = F.split(F.min(F.struct("taxid", "lca", "length"))["length"], "[:|]")
+    ids = rows.groupBy("id").agg(F.get(least, F.lit(0)).cast("int").alias("n1"), F.get(least, F.lit(1)).cast("int").alias("n2"))
+    tags = F.substring(F.translate(F.md5("id"), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 28)
+    seq1, seq2 = F.concat(tags, F.rpad(F.lit("A"), F.col("n1"), F.lit("CGTA"))), F.rpad(F.lit("T"), F.col("n2"), F.lit("GCAT"))
+    quals = [F.repeat(F.lit(q), F.length(seq)) for q, seq in (("I", seq1), ("J", seq2))]
+    mates = [x for m, seq, qual in ((1, seq1, quals[0]), (2, seq2, quals[1])) for x in (F.lit(None).cast("string").alias(f"desc{m}"), seq.alias(f"seq{m}"), qual.alias(f"qual{m}"))]
+    return rows, ids.select("id", *mates)
+
+
+def koutreads_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with their classification: barcode and UMI cut off mate 1, then read back from the descriptions."""
+    rows, pairs = _classified_pairs(spark, sf_dir)
+    pairs = refine.refine_pair(pairs, barcode1=R.seq_range(1, 16), umi1=R.seq_range(17, 28))
+    joined = koutreads.join_pairs(rows, pairs)
+    return joined.select("id", "taxid", F.col("tags")["BARCODE"].alias("barcode"), F.col("tags")["UMI"].alias("umi"), "lca", "seq", "qual")
+
+
+def reads_extract_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose id is among the classified ones of one domain."""
+    _, pairs = _classified_pairs(spark, sf_dir)
+    ids = extract.filter_koutput(table(spark, sf_dir, "koutput"), _included(spark, sf_dir)).select("id")
+    return extract.extract_reads(pairs, ids).select("id", "seq1", "seq2")
+
+
 def _cell_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A read of every umi row with a barcode, a UMI and a taxid."""
     rows = table(spark, sf_dir, "umi").filter(F.col("barcode").isNotNull() & F.col("umi").isNotNull() & F.col("taxid").isNotNull())
@@ -224,7 +253,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         report_lineage, taxonomy_filter, select_descendants, select_own, rank_table, rank_order, koutput_taxids, koutput_filter, koutput_filter_exact,
-        koutreads_join, reads_extract, refined_reads, refined_tags, read_filters, read_kmers, krcount_umi, krcount_bulk, taxa_counts, rpmm,
+        koutreads_join, reads_extract, koutreads_join_pairs, reads_extract_pairs, refined_reads, refined_tags, read_filters, read_kmers, krcount_umi, krcount_bulk, taxa_counts, rpmm,
         quantile_test, quantile_unmatched, adjusted_p, sample_correlation, sample_level, barcode_correlation, barcode_level, denoise_counts,
     )
 }
@@ -258,6 +287,14 @@ _READS = f"""named AS (
 ), reads AS (
   SELECT id, x.taxid AS taxid, x.lca AS lca, rpad('A', x.length::INTEGER, 'CGTA') AS seq, rpad('I', x.length::INTEGER, 'I') AS qual FROM single
 )"""
+_PAIRS = f"""named AS (
+  SELECT *, {_TAXID} AS taxid FROM koutput
+), paired AS (
+  SELECT id, min({{'taxid': taxid, 'a': lca IS NOT NULL, 'lca': lca, 'length': length}}) AS x FROM named WHERE taxid IS NOT NULL AND regexp_full_match(length, '[0-9]+[|:][0-9]+') GROUP BY id
+), pairs AS (
+  SELECT id, x.taxid AS taxid, x.lca AS lca, translate(md5(id), '0123456789abcdef', 'ACGTACGTACGTACGT')[1:28] AS tags,
+    rpad('A', regexp_extract(x.length, '^[0-9]+')::INTEGER, 'CGTA') AS mate1, rpad('T', regexp_extract(x.length, '[0-9]+$')::INTEGER, 'GCAT') AS mate2 FROM paired
+)"""
 _MOST = "list_max(list_transform(list_distinct(string_split(seq, '')), lambda b: length(seq) - length(replace(seq, b, ''))))"
 _PASSES = f"(length(seq) < 20 OR {_MOST} <= length(seq) - 20)"
 _UP = "up AS (SELECT DISTINCT taxid, unnest(list_transform(lineage, lambda x: x.taxid)) AS ancestor FROM report)"
@@ -325,6 +362,9 @@ SELECT koutput_id, {_TAXID} AS taxid FROM koutput
 WHERE NOT coalesce(regexp_matches(lca, '(^|[^0-9A-Za-z])(2831896|322656):'), false) AND {_TAXID} IN (SELECT taxid FROM inside)""",
     "koutreads_join": f"WITH {_READS}\nSELECT id, taxid, seq[1:12] AS umi, lca, seq, qual FROM reads",
     "reads_extract": f"{_TREE}, {_READS}\nSELECT id, seq FROM reads WHERE id IN (SELECT id FROM named WHERE taxid IN (SELECT taxid FROM inside))",
+    "koutreads_join_pairs": f"""WITH {_PAIRS}
+SELECT id, taxid, tags[1:16] AS barcode, tags[17:28] AS umi, lca, mate1 || ' ' || mate2 AS seq, repeat('I', length(mate1)) || ' ' || repeat('J', length(mate2)) AS qual FROM pairs""",
+    "reads_extract_pairs": f"{_TREE}, {_PAIRS}\nSELECT id, tags || mate1 AS seq1, mate2 AS seq2 FROM pairs WHERE id IN (SELECT id FROM named WHERE taxid IN (SELECT taxid FROM inside))",
     "refined_reads": f"WITH {_CELLS}\nSELECT umi_id, 'x T{{UMI:' || seq[17:22] || ':BARCODE:' || seq[1:16] || '}}' AS \"desc\", seq[25:] AS seq, repeat('I', length(seq) - 24) AS qual FROM cells",
     "refined_tags": f"WITH {_CELLS}\nSELECT umi_id, seq[17:22] AS umi, seq[1:16] AS barcode FROM cells",
     "read_filters": f"WITH {_CELLS}\nSELECT umi_id, {_PASSES} AS complex, NOT regexp_matches(seq, '[\\x00-\\x41]') AS good FROM cells",
