@@ -31,6 +31,12 @@ def _domain(spark: SparkSession, sf_dir: str) -> str:
     return table(spark, sf_dir, "kreport").filter(F.col("rank") == "D").agg(F.min(F.trim("name"))).first()[0]
 
 
+def _domains(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The lineages of all domains that occur; a bounded list."""
+    names = table(spark, sf_dir, "kreport").filter((F.col("rank") == "D") & F.col("name").isNotNull()).select(F.ltrim("name").alias("name")).distinct()
+    return sorted(f"d__{r['name']}" for r in names.collect())
+
+
 def _lineage_text(column: str = "lineage") -> Column:
     return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["rank"], x["taxid"], x["taxon"])), "|")
 
@@ -239,14 +245,22 @@ def barcode_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return denoise.barcode_level(table(spark, sf_dir, "kmer").withColumnRenamed("taxa", "taxon"), sample="sample_id")
 
 
-def denoise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline over all samples, with every test's sign and significance limits wide open for small tables."""
+def _denoised(spark: SparkSession, sf_dir: str, taxa: list[str], **limits: object) -> denoise.Denoised:
     reports = _report(spark, sf_dir).withColumnRenamed("sample_id", "sample")
     kmers = table(spark, sf_dir, "kmer").withColumnsRenamed({"taxa": "taxon", "sample_id": "sample"})
     umis = table(spark, sf_dir, "umi").withColumnRenamed("sample_id", "sample")
     lines = table(spark, sf_dir, "cell_lines").filter(~F.isnan("rpmm"))
-    found = denoise.denoise_counts(reports, kmers, umis, lines, RANKS, taxa=_microbes(spark, sf_dir), drop_unmatched=False, alpha=1.1, p_threshold=1.1, padj_threshold=1.1)
-    return found.counts
+    return denoise.denoise_counts(reports, kmers, umis, lines, RANKS, taxa=taxa, **limits)
+
+
+def denoise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline's joins in one domain, all limits of significance open: only the correlations' signs and null p remove taxa."""
+    return _denoised(spark, sf_dir, _microbes(spark, sf_dir), drop_unmatched=False, alpha=1.1, p_threshold=1.1, padj_threshold=1.1).counts
+
+
+def denoise_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline over all samples and domains, with the operator's own limits."""
+    return _denoised(spark, sf_dir, _domains(spark, sf_dir)).counts
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -254,7 +268,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         report_lineage, taxonomy_filter, select_descendants, select_own, rank_table, rank_order, koutput_taxids, koutput_filter, koutput_filter_exact,
         koutreads_join, reads_extract, koutreads_join_pairs, reads_extract_pairs, refined_reads, refined_tags, read_filters, read_kmers, krcount_umi, krcount_bulk, taxa_counts, rpmm,
-        quantile_test, quantile_unmatched, adjusted_p, sample_correlation, sample_level, barcode_correlation, barcode_level, denoise_counts,
+        quantile_test, quantile_unmatched, adjusted_p, sample_correlation, sample_level, barcode_correlation, barcode_level, denoise_counts, denoise_significant,
     )
 }
 
