@@ -203,27 +203,50 @@ def rpmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return denoise.rpmm(_samples(spark, sf_dir), _microbes(spark, sf_dir)).withColumn("rpmm", F.round("rpmm", 6))
 
 
-def _quantile_test(spark: SparkSession, sf_dir: str) -> denoise.QuantileTest:
+def rpmm_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rpmm of the rows of every domain."""
+    return denoise.rpmm(_samples(spark, sf_dir), _domains(spark, sf_dir)).withColumn("rpmm", F.round("rpmm", 6))
+
+
+def _quantile_test(spark: SparkSession, sf_dir: str, taxa: list[str]) -> denoise.QuantileTest:
     lines = table(spark, sf_dir, "cell_lines").filter(~F.isnan("rpmm"))
-    return denoise.quantile_test(_samples(spark, sf_dir), lines, taxa=_microbes(spark, sf_dir), quantile=0.5)
+    return denoise.quantile_test(_samples(spark, sf_dir), lines, taxa=taxa, quantile=0.5)
 
 
 def quantile_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quantile_test(spark, sf_dir).pvalues.withColumn("pvalue", F.round("pvalue", 9))
+    return _quantile_test(spark, sf_dir, _microbes(spark, sf_dir)).pvalues.withColumn("pvalue", F.round("pvalue", 9))
+
+
+def quantile_test_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantile test of the taxa of every domain."""
+    return _quantile_test(spark, sf_dir, _domains(spark, sf_dir)).pvalues.withColumn("pvalue", F.round("pvalue", 9))
 
 
 def quantile_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quantile_test(spark, sf_dir).unmatched
+    return _quantile_test(spark, sf_dir, _microbes(spark, sf_dir)).unmatched
 
 
-def adjusted_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p-values of the quantile test, adjusted in five ways."""
-    out = _quantile_test(spark, sf_dir).pvalues.select("taxid", "taxon", "pvalue")
+def quantile_unmatched_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quantile_test(spark, sf_dir, _domains(spark, sf_dir)).unmatched
+
+
+def _adjusted(test: denoise.QuantileTest) -> DataFrame:
+    out = test.pvalues.select("taxid", "taxon", "pvalue")
     for method in ("holm", "hochberg", "bonferroni", "BH", "BY"):
         out = stats.adjust_p(out, "pvalue", method, name=method.lower())
     return out.select("taxid", "taxon", *[F.round(m, 9).alias(m) for m in ("pvalue", "holm", "hochberg", "bonferroni", "bh", "by")])
 
 
+def adjusted_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p-values of the quantile test, adjusted in five ways."""
+    return _adjusted(_quantile_test(spark, sf_dir, _microbes(spark, sf_dir)))
+
+
+def adjusted_p_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p-values of the quantile test over the taxa of every domain, adjusted in five ways."""
+    return _adjusted(_quantile_test(spark, sf_dir, _domains(spark, sf_dir)))
+
+
 def sample_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spearman's rho of the sample-level test."""
     found = denoise.sample_level(_samples(spark, sf_dir))
@@ -269,6 +292,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         report_lineage, taxonomy_filter, select_descendants, select_own, rank_table, rank_order, koutput_taxids, koutput_filter, koutput_filter_exact,
         koutreads_join, reads_extract, koutreads_join_pairs, reads_extract_pairs, refined_reads, refined_tags, read_filters, read_kmers, krcount_umi, krcount_bulk, taxa_counts, rpmm,
         quantile_test, quantile_unmatched, adjusted_p, sample_correlation, sample_level, barcode_correlation, barcode_level, denoise_counts, denoise_significant,
+        rpmm_domains, quantile_test_domains, quantile_unmatched_domains, adjusted_p_domains,
     )
 }
 
@@ -416,3 +440,8 @@ UNION ALL SELECT taxid, taxon, NULL, NULL, NULL, NULL, NULL, NULL FROM pvalues W
 SELECT sample_id, taxid, taxa AS taxon, CASE WHEN count(kmer_n_unique) < 2 OR isnan(corr(kmer_len, kmer_n_unique)) THEN NULL ELSE round(corr(kmer_len, kmer_n_unique), 9) + 0.0 END AS cor
 FROM (SELECT *, count(*) OVER (PARTITION BY sample_id, taxid, taxa) AS c FROM kmer WHERE kmer_len >= 3) WHERE c >= 3 GROUP BY ALL""",
 }
+
+#: The same tests over the rows of every domain.
+_TREE_DOMAINS = _TREE.replace("SELECT * FROM report, first_domain WHERE len(list_filter(lineage, lambda x: x.rank = 'D' AND x.taxon = d)) > 0", "SELECT * FROM report WHERE len(list_filter(lineage, lambda x: x.rank = 'D')) > 0")
+_RPMM_DOMAINS = _RPMM.replace("FROM report, first_domain WHERE rank = 'D' AND taxon = d", "FROM report WHERE rank = 'D'")
+SQL |= {f"{name}_domains": SQL[name].replace(_TREE, _TREE_DOMAINS).replace(_RPMM, _RPMM_DOMAINS) for name in ("rpmm", "quantile_test", "quantile_unmatched", "adjusted_p")}

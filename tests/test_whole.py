@@ -114,3 +114,11 @@ def test_denoise_significant_by_brute_force(spark, tmp_path):
     assert {t[0] for _, t in real} == {"1", "2"} and taxids - truly and taxids - alike and any(p >= 0.05 for p in padj.values())
     opened = {(r["sample"], r["barcode"], r["taxid"]) for r in analysis.QUERIES["denoise_counts"](spark, str(tmp_path)).collect()}
     assert opened - set(got)
+
+
+def test_rpmm_covers_every_domain(spark):
+    inside = analysis._report(spark, FOLDER).filter("exists(lineage, x -> x.rank = 'D')")
+    got = analysis.QUERIES["rpmm_domains"](spark, FOLDER)
+    assert len(analysis._domains(spark, FOLDER)) == 3
+    assert sorted(r["taxid"] for r in got.collect()) == sorted(r["taxid"] for r in inside.collect())
+    assert got.count() > analysis.QUERIES["rpmm"](spark, FOLDER).count()
