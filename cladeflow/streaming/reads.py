@@ -1,4 +1,8 @@
-"""Structured Streaming over reads and UMI events; results are those of the batch operators over the same rows."""
+"""Structured Streaming over reads and UMI events.
+
+The join gives the batch operator's rows. Of UMI events, rows that come more than ``late`` behind the newest event may be
+dropped, so results are those of all rows only where ``late`` is above the longest delay; distinct UMIs of windows are approximate.
+"""
 
 from __future__ import annotations
 
