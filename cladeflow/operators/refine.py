@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,11 +89,16 @@ def refine_pair(
     return reads.withColumns(new)
 
 
+def tag_map(pairs: Column) -> Column:
+    """The map of an array of ``struct<key, value>``; of equal keys the last one holds."""
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
+
+
 def parse_tags(desc: Column, prefix: str = TAG_PREFIX) -> Column:
     """The map of tags embedded in a description; an odd last part is left out, of equal tags the last one holds."""
-    body = F.regexp_extract(desc, prefix + r"\{([^}]*)\}", 1)
+    body = F.regexp_extract(desc, re.escape(prefix) + r"\{([^}]*)\}", 1)
     parts = F.split(body, ":")
     n = F.floor(F.size(parts) / 2).cast("int")
     pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.get(parts, (i - 1) * 2).alias("key"), F.get(parts, (i - 1) * 2 + 1).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.when(n >= 1, F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>"))
+    return F.when(n >= 1, tag_map(pairs)).otherwise(F.create_map().cast("map<string,string>"))

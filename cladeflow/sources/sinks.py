@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def _write(lines: DataFrame, path: str, gzip: bool, level: int | None, order: list[str] | None) -> None:
     if level is not None and not 1 <= level <= 12:
@@ -29,9 +31,15 @@ def write_fastq(reads: DataFrame, path: str, gzip: bool = False, level: int | No
 
 
 def write_fastq_pair(reads: DataFrame, first: str | None, second: str | None, gzip: bool = False, level: int | None = None, order: list[str] | None = None) -> None:
-    """FASTQ files of paired reads; either may be left out."""
+    """FASTQ files of paired reads; either may be left out.
+
+    Where both are written, the rows are made once and kept in the shared checkpoint folder, so that the files of both
+    mates have the same records in the same order.
+    """
     if first is None and second is None:
         raise ValueError("at least one output is needed")
+    if first is not None and second is not None:
+        reads, order = checkpointed(reads.sort(*order) if order else reads), None
     for mate, path in (("1", first), ("2", second)):
         if path is not None:
             write_fastq(reads, path, gzip, level, order, mate)

@@ -5,6 +5,7 @@ import pytest
 
 from cladeflow.sources import fastq, sinks
 
+# The records and the parts of messages that readers of this format agree on.
 TWO = "@seq1 description\nATGC\n+\n!!!!\n@seq2\nGCGT\n+\n$$$$\n"
 
 
@@ -78,3 +79,45 @@ def test_pair_errors(tmp_path):
     b.write_text("@seq1\nA\n+\nI\n")
     with pytest.raises(fastq.FastqError, match="ends before its mate"):
         list(fastq.paired_records(str(a), str(b)))
+
+
+def test_odd_paths_and_uris(spark, tmp_path):
+    odd = tmp_path / "a,b [1]"
+    odd.mkdir()
+    (odd / "x.fq").write_text(TWO)
+    (odd / "_skipped").write_text("no record")
+    for path in (str(odd), str(odd / "x.fq"), [str(odd / "x.fq")], f"file://{odd}/x.fq", f"file:{odd}/x.fq"):
+        assert fastq.read_fastq(spark, path).count() == 2
+
+
+def test_remote_files_are_opened_by_uri(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    (tmp_path / "x.fq").write_text(TWO)
+    (tmp_path / "y.fq.gz").write_bytes(gzip.compress(TWO.encode()))
+    (tmp_path / "_z").write_text("")
+    system = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    monkeypatch.setattr(fastq, "_remote", lambda path: (system, path.split("://h/")[1]))
+    for name in ("x.fq", "y.fq.gz"):
+        assert [r[1] for r in fastq.single_records(f"mem://h/{name}")] == ["seq1", "seq2"]
+    assert [r[1] for r in fastq.single_records("mem://h/x.fq", 5, 60)] == ["seq2"]
+    assert fastq._files(["mem://h/*.fq"]) == ["mem://h/x.fq"] and fastq._size("mem://h/x.fq") == len(TWO)
+
+
+def test_long_pairs_are_read_in_splits(spark, tmp_path):
+    r = random.Random(4)
+    record = lambda i, n: f"@r{i} d{i}\n{'A' * n}\n+\n{'I' * n}\n"
+    sizes = [(i, r.randint(1, 40), r.randint(1, 90)) for i in range(300)]
+    for f in ("p", "q"):
+        (tmp_path / f"{f}1.fq").write_text("".join(record(f"{f}{i}", n) for i, n, _ in sizes))
+        (tmp_path / f"{f}2.fq").write_text("".join(record(f"{f}{i}", n) for i, _, n in sizes))
+    first, second = ([str(tmp_path / f"{f}{m}.fq") for f in ("p", "q")] for m in "12")
+    whole, parts = (fastq.read_fastq(spark, first, second, split_bytes=n) for n in (1 << 20, 5000))
+    assert "FullOuter" in parts._jdf.queryExecution().toString() and whole.schema == parts.schema
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+    (tmp_path / "q2.fq").write_text("".join(record(f"q{i}", n) for i, _, n in sizes[:-1]))
+    with pytest.raises(Exception, match="ends before its mate"):
+        fastq.read_fastq(spark, first, second, split_bytes=5000).collect()
+    (tmp_path / "q2.fq").write_text("".join(record(f"q{i if i else 'x'}", n) for i, _, n in sizes))
+    with pytest.raises(Exception, match="IDs do not match: q0, qx"):
+        fastq.read_fastq(spark, first, second, split_bytes=5000).collect()

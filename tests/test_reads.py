@@ -155,3 +155,10 @@ def test_classifier_command():
     assert command[-4:] == ["--paired", "--gzip-compressed", "a.fq.gz", "b.fq.gz"] and "--report-minimizer-data" in command and "o/c#.fq" in command
     with pytest.raises(ValueError, match="reads"):
         classifier.classifier_command([])
+
+
+def test_repeated_and_odd_tags_of_koutreads(spark, tmp_path):
+    p = tmp_path / "t.tsv"
+    p.write_text("1\tUMI:AC  UMI:GG B:x:y Q\t1:1\tA\tI\n2\t\t1:1\tA\tI\n")
+    got = {r["taxid"]: r["tags"] for r in text.read_koutreads(spark, str(p)).collect()}
+    assert got == {"1": {"UMI": "GG", "B": "x:y", "Q": None}, "2": {}}

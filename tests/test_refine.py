@@ -69,3 +69,11 @@ def test_parse_tags(spark, desc, expected):
     from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(desc,)], "desc string").select(refine.parse_tags(F.col("desc"), "T").alias("t")).first()["t"] == expected
+
+
+@pytest.mark.parametrize("prefix", ["T+", "a.b", "(x", "[q]"])
+def test_prefix_is_no_pattern(spark, prefix):
+    from pyspark.sql import functions as F
+
+    df = refine.refine(reads(spark, [("r", "d", "ACGTT", "IIIII")]), umi=R.seq_range(1, 3), prefix=prefix)
+    assert df.select(refine.parse_tags(F.col("desc"), prefix).alias("t")).first()["t"] == {"UMI": "ACG"}

@@ -79,3 +79,25 @@ def test_report_that_fails(spark, tmp_path):
     with pytest.raises(Exception, match="column_count"):
         text.read_report(spark, str(p)).collect()
     assert text.read_report(spark, str(p), fail=False).count() == 1
+
+
+def test_quotes_and_odd_ranks_are_ordinary_text(spark, tmp_path):
+    p = tmp_path / "q.kreport"
+    names = ["  Bacteria", '    "Bacillus"', '      "Bacillus" sp.', "      half\"open", "    tail"]
+    ranks = ["D", "G", "S", "-", "X1"]
+    p.write_text("".join(f" 1.5\t9\t+1\t{r}\t{i}\t{name}\n" for i, (r, name) in enumerate(zip(ranks, names))))
+    rows = {r["taxid"]: r for r in taxonomy.add_lineage(text.read_report(spark, str(p)), ["file"], ["line_no"]).collect()}
+    assert [rows[str(i)]["taxon"] for i in range(5)] == [n.lstrip() for n in names]
+    assert [rows[str(i)]["level"] for i in range(5)] == [1, 2, 3, 3, 2]
+    lineage = lambda i: [x["taxid"] for x in rows[i]["lineage"]]
+    assert [lineage("2"), lineage("3"), lineage("4")] == [["0", "1", "2"], ["0", "1", "3"], ["0", "4"]]
+    assert rows["0"]["reads"] == 1 and rows["0"]["minimizer_len"] is None
+
+
+@pytest.mark.parametrize("line", ["1d\t1\t1\tD\t1\tx", "1\t1.5\t1\tD\t1\tx", "1\t1\t-1\tD\t1\tx", "1\t1\t1\t\t1\tD\t1\tx"])
+def test_numbers_of_reports(spark, tmp_path, line):
+    p = tmp_path / "n.kreport"
+    p.write_text(line + "\n 1\t 1 \t1\t?\t?\tU\t0\tunclassified\n")
+    with pytest.raises(Exception, match="not a number"):
+        text.read_report(spark, str(p)).collect()
+    assert [r["rank"] for r in text.read_report(spark, str(p), fail=False).collect()] == ["U"]
