@@ -132,43 +132,47 @@ def kendall_exact_p(tau: float, n: int, alternative: str) -> float:
     return {"less": lower, "greater": upper}.get(alternative, min(1.0, 2 * min(lower, upper)))
 
 
-def _discordant(y: np.ndarray) -> int:
-    """Pairs i < j with y[i] > y[j], by merging sorted blocks."""
-    y, size, total = y.copy(), 1, 0
-    while size < len(y):
-        for at in range(0, len(y) - size, 2 * size):
-            left, right = y[at : at + size], y[at + size : at + 2 * size]
-            total += int((len(left) - np.searchsorted(left, right, side="right")).sum())
-            y[at : at + 2 * size] = np.sort(y[at : at + 2 * size], kind="stable")
+def kendall_sum(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
+    """Sum over all pairs of points of the product of their weights and of the signs of their differences in a and in b.
+
+    Points are put in order of a (and b) and counted block against block, blocks doubling until one is left.
+    """
+    order = np.lexsort((b, a))
+    a, b, w = a[order], np.unique(b[order], return_inverse=True)[1].astype(np.int64), w[order].astype(float)
+    n, kinds, total, size = len(a), int(b.max()) + 1 if len(b) else 1, 0.0, 1
+    # points of equal a stand in order of b and are counted below as rising; they are taken off again
+    ends = lambda *v: np.flatnonzero(np.r_[np.any([x[1:] != x[:-1] for x in v], 0), True])
+    if n:
+        upto = np.cumsum(w)
+        per_a, per_ab = np.diff(np.r_[0.0, upto[ends(a)]]), np.diff(np.r_[0.0, upto[ends(a, b)]])
+        total -= ((per_a**2).sum() - (per_ab**2).sum()) / 2
+    while size < n:
+        block = np.arange(n) // size
+        right = block % 2 == 1
+        pair = block // 2
+        key = pair * kinds + b
+        lk, lw = key[~right], np.r_[0.0, np.cumsum(w[~right])]
+        rk, rp = key[right], pair[right]
+        below = lw[np.searchsorted(lk, rk, "left")] - lw[np.searchsorted(lk, rp * kinds, "left")]
+        above = lw[np.searchsorted(lk, (rp + 1) * kinds, "left")] - lw[np.searchsorted(lk, rk, "right")]
+        total += float((w[right] * (below - above)).sum())
+        order = np.argsort(key, kind="stable")
+        b, w = b[order], w[order]
         size *= 2
     return total
 
 
-def kendall(x: np.ndarray, y: np.ndarray, alternative: str = "two.sided", exact: bool | None = None, continuity: bool = False) -> tuple[float, float]:
-    """Kendall's tau-b and its p-value: exact below 50 values without ties, else by the normal approximation."""
-    n = len(x)
-    if n < 2:
-        return math.nan, math.nan
-    ties_of = lambda v: np.unique(v, return_counts=True)[1].astype(float)
-    tx, ty = ties_of(x), ties_of(y)
-    pairs = n * (n - 1) / 2
-    t1, t2 = (tx * (tx - 1)).sum() / 2, (ty * (ty - 1)).sum() / 2
-    if t1 == pairs or t2 == pairs:
-        return math.nan, math.nan
-    _, both = np.unique(np.stack([x, y], 1), axis=0, return_counts=True)
-    order = np.lexsort((y, x))
-    discordant = _discordant(y[order])
-    s = pairs - t1 - t2 + (both * (both - 1.0)).sum() / 2 - 2 * discordant
-    tau = s / math.sqrt((pairs - t1) * (pairs - t2))
-    tied = len(tx) < n or len(ty) < n
+def kendall_p(tau: float, s: float, n: int, tied: bool, spread: tuple[float, float], pairs: tuple[float, float], triples: tuple[float, float], alternative: str, exact: bool | None, continuity: bool) -> float:
+    """p-value of tau-b: exact below 50 values without ties, else by the normal approximation.
+
+    For both sides ``spread`` is the sum over ties of t (t - 1) (2 t + 5), ``pairs`` of t (t - 1), ``triples`` of t (t - 1) (t - 2).
+    """
     if (n < 50 if exact is None else exact) and not tied:
-        return tau, kendall_exact_p(tau, n, alternative)
-    spread = lambda t: (t * (t - 1) * (2 * t + 5)).sum()
-    var = (n * (n - 1) * (2 * n + 5) - spread(tx) - spread(ty)) / 18
-    var += (tx * (tx - 1)).sum() * (ty * (ty - 1)).sum() / (2 * n * (n - 1))
+        return kendall_exact_p(tau, n, alternative)
+    var = (n * (n - 1) * (2 * n + 5) - sum(spread)) / 18 + pairs[0] * pairs[1] / (2 * n * (n - 1))
     if n > 2:
-        var += (tx * (tx - 1) * (tx - 2)).sum() * (ty * (ty - 1) * (ty - 2)).sum() / (9 * n * (n - 1) * (n - 2))
+        var += triples[0] * triples[1] / (9 * n * (n - 1) * (n - 2))
     if continuity:
         s = math.copysign(max(abs(s) - 1, 0), s)
     upper = float(norm_upper(np.array(s / math.sqrt(var))))
-    return tau, {"greater": upper, "less": 1 - upper}.get(alternative, min(1.0, 2 * min(upper, 1 - upper)))
+    return {"greater": upper, "less": 1 - upper}.get(alternative, min(1.0, 2 * min(upper, 1 - upper)))

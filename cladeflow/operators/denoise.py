@@ -23,15 +23,17 @@ def rpmm(reports: DataFrame, taxa: list[str] = MICROBES, sample: str = "sample")
     The microbiome reads of a sample are those of the rows that are themselves one of ``taxa``.
     """
     own = F.concat(F.lower("rank"), F.lit("__"), F.col("taxon")).isin(taxa)
-    total = F.sum(F.when(own, F.col("total_reads"))).over(Window.partitionBy(sample)).cast("double")
-    rows = reports.select(sample, "taxid", "taxon", F.try_divide("total_reads", total).alias("x"), taxonomy.matches_taxonomy(taxa, lower=True).alias("m"))
-    return rows.filter("m").select(sample, "taxid", "taxon", (F.col("x") * 1e6).alias("rpmm"))
+    totals = reports.filter(own).groupBy(F.col(sample).alias("__of")).agg(F.sum("total_reads").cast("double").alias("__total"))
+    rows = reports.filter(taxonomy.matches_taxonomy(taxa, lower=True)).select(sample, "taxid", "taxon", "total_reads")
+    joined = rows.join(totals, F.col(sample).eqNullSafe(F.col("__of")), "left")
+    return joined.select(sample, "taxid", "taxon", (F.try_divide("total_reads", "__total") * 1e6).alias("rpmm"))
 
 
 @dataclass(frozen=True)
 class QuantileTest:
-    """``data``: taxid, taxon, rpmm, study; ``pvalues``: taxid, taxon, reference, pvalue (null if unmatched);
-    ``unmatched``, ``significant`` and ``truly``: distinct taxid."""
+    """``data``: taxid, taxon, rpmm, study, and ``weight``, how often the row counts (a cell line's value counts once for
+    each report row of its taxid); ``pvalues``: taxid, taxon, reference, pvalue (null if unmatched); ``unmatched``,
+    ``significant`` and ``truly``: distinct taxid."""
 
     data: DataFrame
     pvalues: DataFrame
@@ -66,10 +68,9 @@ def quantile_test(
     # a copy of a cell line's value for each report row of the taxid: a weight instead of copies
     times = own.groupBy("taxid").agg(F.count(F.lit(1)).alias("w"))
     lines = cell_lines.filter(F.col("rpmm").isNotNull() & F.col("taxid").isNotNull()).select("taxid", "rpmm")
-    counts = lines.groupBy("taxid", "rpmm").agg(F.count(F.lit(1)).alias("c")).join(times, "taxid").withColumn("c", F.col("c") * F.col("w"))
-    upto = F.sum("c").over(Window.partitionBy("taxid").orderBy("rpmm").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumns({"u": upto, "n": F.sum("c").over(Window.partitionBy("taxid"))})
-    reference = placed.filter(F.col("u") > F.round(F.lit(float(quantile)) * (F.col("n") - 1))).groupBy("taxid").agg(F.min("rpmm").alias("reference"))
+    counts = lines.groupBy("taxid", "rpmm").agg(F.count(F.lit(1)).alias("c"))
+    weighted = counts.join(times, "taxid").withColumn("c", F.col("c") * F.col("w"))
+    reference = stats.nearest_quantiles(weighted, ["taxid"], "rpmm", quantile, "reference", "c")
     tested = own.join(reference, "taxid", "left").groupBy("taxid", "taxon", "reference")
     tested = tested.agg(F.count_if(F.col("rpmm") < F.col("reference")).alias("below"), F.count_if(F.col("rpmm") <= F.col("reference")).alias("upto"), F.count("rpmm").alias("n"))
     p = stats.quantile_test_p(F.col("below"), F.col("upto"), F.col("n"), alternative)
@@ -77,8 +78,9 @@ def quantile_test(
     unmatched = pvalues.filter(F.col("reference").isNull()).select("taxid").distinct()
     significant = pvalues.filter(F.col("pvalue") < alpha).select("taxid").distinct()
     truly = significant if drop_unmatched else unmatched.union(significant).distinct()
-    names = own.select("taxid", "taxon").join(lines, "taxid").withColumn("study", F.lit("cell lines"))
-    data = own.select("taxid", "taxon", "rpmm", F.lit(study).alias("study")).unionByName(names)
+    names = own.groupBy("taxid", "taxon").agg(F.count(F.lit(1)).alias("w")).join(counts, "taxid")
+    names = names.select("taxid", "taxon", "rpmm", F.lit("cell lines").alias("study"), (F.col("w") * F.col("c")).alias("weight"))
+    data = own.select("taxid", "taxon", "rpmm", F.lit(study).alias("study"), F.lit(1).cast("bigint").alias("weight")).unionByName(names)
     return QuantileTest(data, pvalues, unmatched, significant, truly)
 
 

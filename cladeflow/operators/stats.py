@@ -1,6 +1,8 @@
 """Correlation tests per group, adjustment of p-values, and the quantile test.
 
 Moments and ranks are aggregates and windows; only the tail probabilities of one row per group pass through Arrow batches.
+A group may hold most of all rows. No window is ordered within a group's values: these are put into buckets by their size
+first, buckets are ordered within a group, and values within a bucket.
 """
 
 from __future__ import annotations
@@ -34,46 +36,128 @@ def _tail(t: np.ndarray, df: np.ndarray, alternative: str) -> np.ndarray:
     return {"greater": upper, "less": 1 - upper}.get(alternative, np.minimum(1, 2 * np.minimum(upper, 1 - upper)))
 
 
-def _kendall(rows: DataFrame, group: list[str], pairs: list[tuple[str, str, str, str]], alternative: str, exact: bool | None, continuity: bool) -> DataFrame:
-    schema = T.StructType([rows.schema[g] for g in group] + [T.StructField(n, T.DoubleType()) for _, _, r, p in pairs for n in (r, p)])
+#: Buckets of values in each doubling.
+_STEPS = 4096
+#: Rows of a group that a task counts Kendall's pairs of at a time.
+STRIP = 1 << 20
+_BEFORE = (Window.unboundedPreceding, -1)
 
-    def run(t: pa.Table) -> pa.Table:
-        out = [t.column(g).slice(0, 1) for g in group]
-        for x, y, _, _ in pairs:
-            values = t.select([x, y]).to_pandas().dropna()
-            out += [pa.array([None if np.isnan(v) else v], pa.float64()) for v in D.kendall(values[x].to_numpy(float), values[y].to_numpy(float), alternative, exact, continuity)]
-        return pa.table(out, names=schema.names)
 
-    return rows.select(*group, *dict.fromkeys(c for x, y, _, _ in pairs for c in (x, y))).groupBy(*group).applyInArrow(run, schema)
+def bucket(v: Column) -> Column:
+    """A whole number that grows with the value, of some 4,096 for each doubling."""
+    size = F.abs(v)
+    steps = F.floor(F.log2(size) * _STEPS) + 1100 * _STEPS
+    return F.signum(v).cast("bigint") * F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(10**7)).otherwise(steps).cast("bigint")
 
 
-def _moments(rows: DataFrame, group: list[str], x: str, y: str, spearman: bool) -> DataFrame:
-    """``group, r, n, tied, rows``: estimate, number of pairs, whether either has ties, and number of rows.
+def _bucket_sums(counts: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``keys``, ``b`` and ``sum``, with ``start`` (the weights of lower buckets) and ``n`` (of all)."""
+    sums = counts.groupBy(*keys, "b").agg(F.sum(weight).alias("sum"))
+    whole = Window.partitionBy(*keys)
+    return sums.withColumns({"start": F.coalesce(F.sum("sum").over(whole.orderBy("b").rowsBetween(*_BEFORE)), F.lit(0)), "n": F.sum("sum").over(whole)})
 
-    Ranks are made from the counts of distinct pairs of values, so that a group with many rows sorts only its values.
+
+def placed(counts: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """``counts``, a row for each value of ``keys`` (not null), with ``before``, the weights of smaller values, and ``n``, of all."""
+    rows = counts.withColumn("b", bucket(F.col(value)))
+    inside = F.coalesce(F.sum(weight).over(Window.partitionBy(*keys, "b").orderBy(value).rowsBetween(*_BEFORE)), F.lit(0))
+    starts = _bucket_sums(rows, keys, weight).drop("sum")
+    return rows.withColumn("inside", inside).join(starts, [*keys, "b"]).withColumn("before", F.col("start") + F.col("inside")).drop("b", "inside", "start")
+
+
+def _number(column: str) -> Column:
+    """The value as a double; NaN is none."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x + F.lit(0.0))
+
+
+def _pearson(rows: DataFrame, group: list[str], pairs: list[tuple[str, str, str, str]]) -> DataFrame:
+    """``group``, ``rows`` and ``r{i}, n{i}, tied{i}`` for each pair, by one aggregation."""
+    aggregates: list[Column] = [F.count(F.lit(1)).alias("rows")]
+    for i, (x, y, _, _) in enumerate(pairs):
+        both = _number(x).isNotNull() & _number(y).isNotNull()
+        cx, cy = F.when(both, _number(x)), F.when(both, _number(y))
+        aggregates += [F.covar_pop(cx, cy).alias(f"xy{i}"), F.var_pop(cx).alias(f"xx{i}"), F.var_pop(cy).alias(f"yy{i}"), F.count(cx).alias(f"n{i}")]
+    sums = rows.groupBy(*group).agg(*aggregates)
+    shown = [c for i in range(len(pairs)) for c in (_estimate(f"xy{i}", f"xx{i}", f"yy{i}", f"n{i}").alias(f"r{i}"), F.col(f"n{i}"), F.lit(True).alias(f"tied{i}"))]
+    return sums.select(*group, "rows", *shown)
+
+
+def _estimate(xy: str, xx: str, yy: str, n: str) -> Column:
+    ratio = F.try_divide(F.col(xy), F.sqrt(xx) * F.sqrt(yy))
+    return F.when((F.col(n) >= 2) & ratio.isNotNull(), F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)))
+
+
+def _with_ranks(rows: DataFrame, group: list[str], pairs: list[tuple[str, str, str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs of values of all ``pairs`` in one frame, and the sides' values.
+
+    The first: ``g`` (struct of the group), ``pair``, ``x, y`` (both null where either is), ``c`` rows, and of either side
+    the values ``before`` it (``bx, by``), those equal to it (``tx, ty``), and ``n``. The second: ``g, pair, side, t``.
     """
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    values = rows.select(*group, F.when(both, F.col(x).cast("double")).alias("__x"), F.when(both, F.col(y).cast("double")).alias("__y"))
-    if not spearman:
-        cx, cy = F.col("__x"), F.col("__y")
-        sums = values.groupBy(*group).agg(F.covar_pop(cx, cy).alias("xy"), F.var_pop(cx).alias("xx"), F.var_pop(cy).alias("yy"), F.count(cx).alias("n"), F.lit(True).alias("tied"), F.count(F.lit(1)).alias("rows"))
-    else:
-        counts = values.groupBy(*group, "__x", "__y").agg(F.count(F.lit(1)).alias("c"))
-        counts = counts.withColumn("w", F.when(F.col("__x").isNotNull(), F.col("c")).otherwise(0))
-        total = F.sum("w").over(Window.partitionBy(*group))
-        columns: dict[str, Column] = {}
-        for v, out in (("__x", "x"), ("__y", "y")):
-            upto = F.sum("w").over(Window.partitionBy(*group).orderBy(v).rangeBetween(Window.unboundedPreceding, 0))
-            ties = F.sum("w").over(Window.partitionBy(*group, v))
-            # the mean of the ranks is (n + 1) / 2
-            columns |= {out: upto - (ties - 1) / 2 - (total + 1) / 2, f"t{out}": ties}
-        ranked = counts.withColumns(columns)
-        w, cx, cy = F.col("w"), F.col("x"), F.col("y")
-        tied = F.greatest(F.max("tx"), F.max("ty")) > 1
-        sums = ranked.groupBy(*group).agg(F.sum(w * cx * cy).alias("xy"), F.sum(w * cx * cx).alias("xx"), F.sum(w * cy * cy).alias("yy"), F.sum(w).alias("n"), tied.alias("tied"), F.sum("c").alias("rows"))
-    ratio = F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy"))
-    r = F.when((F.col("n") >= 2) & ratio.isNotNull(), F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)))
-    return sums.select(*group, r.alias("r"), "n", "tied", "rows")
+    each = []
+    for i, (x, y, _, _) in enumerate(pairs):
+        both = _number(x).isNotNull() & _number(y).isNotNull()
+        each.append(F.struct(F.lit(i).alias("pair"), F.when(both, _number(x)).alias("x"), F.when(both, _number(y)).alias("y")))
+    # equal structs may hold nulls, which equal columns may not
+    counts = rows.select(F.struct(*group).alias("g"), F.inline(F.array(*each))).groupBy("g", "pair", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    sides = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("v")), F.struct(F.lit(1).alias("side"), F.col("y").alias("v"))))
+    values = counts.filter(F.col("x").isNotNull()).select("g", "pair", "c", sides).groupBy("g", "pair", "side", "v").agg(F.sum("c").alias("t"))
+    ranks = placed(values, ["g", "pair", "side"], "v", "t")
+    left = ranks.filter("side = 0").select("g", "pair", F.col("v").alias("x"), F.col("before").alias("bx"), F.col("t").alias("tx"), "n")
+    right = ranks.filter("side = 1").select("g", "pair", F.col("v").alias("y"), F.col("before").alias("by"), F.col("t").alias("ty"))
+    return counts.join(left, ["g", "pair", "x"], "left").join(right, ["g", "pair", "y"], "left"), values
+
+
+def _side_by_side(found: DataFrame, group: list[str], pairs: int, columns: list[str]) -> DataFrame:
+    """One row per ``g`` from one row per ``g`` and pair: ``group``, ``rows``, and each column with the pair's number."""
+    shown = [F.max(F.when(F.col("pair") == i, F.col(c))).alias(f"{c}{i}") for i in range(pairs) for c in columns]
+    return found.groupBy("g").agg(F.max("rows").alias("rows"), *shown).select(*[F.col("g")[c].alias(c) for c in group], "rows", *[f"{c}{i}" for i in range(pairs) for c in columns])
+
+
+def _spearman(rows: DataFrame, group: list[str], pairs: list[tuple[str, str, str, str]]) -> DataFrame:
+    """As :func:`_pearson`, of mean ranks."""
+    ranked, _ = _with_ranks(rows, group, pairs)
+    # ranks less their mean: before + (t + 1) / 2 - (n + 1) / 2
+    x, y = (F.col(b) + (F.col(t) - F.col("n")) / 2 for b, t in (("bx", "tx"), ("by", "ty")))
+    c = F.col("c")
+    tied = (F.max(F.greatest("tx", "ty")) > 1).alias("tied")
+    sums = ranked.groupBy("g", "pair").agg(F.sum(c * x * y).alias("xy"), F.sum(c * x * x).alias("xx"), F.sum(c * y * y).alias("yy"), F.sum(F.when(F.col("x").isNotNull(), c)).alias("n"), tied, F.sum("c").alias("rows"))
+    return _side_by_side(sums.withColumn("r", _estimate("xy", "xx", "yy", "n")), group, len(pairs), ["r", "n", "tied"])
+
+
+def _kendall(rows: DataFrame, group: list[str], pairs: list[tuple[str, str, str, str]]) -> DataFrame:
+    """As :func:`_pearson`, tau-b, with what its p needs: ``s`` and the sums over ties.
+
+    Groups above STRIP rows are cut by rank into strips of x and strips of y. Points in different strips of both are
+    counted by the numbers of points of each pair of strips, points in one strip of x by themselves, and points in one
+    strip of y by their y and strip of x. A value with more than STRIP rows is a strip of its own, in which all are ties.
+    """
+    ranked, values = _with_ranks(rows, group, pairs)
+    strip = lambda b, t: 2 * F.floor(F.col(b) / STRIP) + F.when(F.col(t) > STRIP, F.lit(1)).otherwise(F.lit(0))
+    points = ranked.filter(F.col("x").isNotNull()).select("g", "pair", "c", "x", "y", "n", strip("bx", "tx").alias("kx"), strip("by", "ty").alias("ky"))
+    long = F.col("n") > STRIP
+    part = lambda kind, k, a, b: F.struct(F.lit(kind).alias("kind"), k.cast("bigint").alias("k"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    kx, ky, x, y = (F.col(c) for c in ("kx", "ky", "x", "y"))
+    parts = F.array(F.when(kx % 2 == 0, part(0, kx, x, y)), F.when(long & (ky % 2 == 0), part(1, ky, kx, y)), F.when(long, part(2, F.lit(0), kx, ky)))
+    cut = points.select("g", "pair", "c", F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).groupBy("g", "pair", "p").agg(F.sum("c").alias("c"))
+    cut = cut.select("g", "pair", "p.*", "c")
+    schema = T.StructType([cut.schema["g"], cut.schema["pair"], T.StructField("s", T.DoubleType())])
+
+    def count(t: pa.Table) -> pa.Table:
+        a, b, w = (t.column(c).to_numpy() for c in ("a", "b", "c"))
+        return pa.table([t.column("g").slice(0, 1), t.column("pair").slice(0, 1), pa.array([D.kendall_sum(a, b, w)])], names=schema.names)
+
+    s = cut.groupBy("g", "pair", "kind", "k").applyInArrow(count, schema).groupBy("g", "pair").agg(F.sum("s").alias("s"))
+    t = F.col("t").cast("double")
+    sums = {"pairs": t * (t - 1), "triples": t * (t - 1) * (t - 2), "spread": t * (t - 1) * (2 * t + 5)}
+    ties = values.groupBy("g", "pair").agg(*[F.sum(F.when(F.col("side") == i, v)).alias(f"{name}_{side}") for i, side in enumerate("xy") for name, v in sums.items()])
+    n = F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("c"))), F.lit(0))
+    out = ranked.groupBy("g", "pair").agg(n.alias("n"), (F.max(F.greatest("tx", "ty")) > 1).alias("tied"), F.sum("c").alias("rows"))
+    out = out.join(s, ["g", "pair"], "left").join(ties, ["g", "pair"], "left")
+    every = F.col("n").cast("double") * (F.col("n") - 1)
+    r = F.try_divide(2 * F.col("s"), F.sqrt(every - F.col("pairs_x")) * F.sqrt(every - F.col("pairs_y")))
+    names = ["r", "n", "tied", "s", *[f"{name}_{side}" for name in ("spread", "pairs", "triples") for side in "xy"]]
+    return _side_by_side(out.withColumn("r", F.when(F.col("n") >= 2, r)), group, len(pairs), names)
 
 
 def correlate(
@@ -88,39 +172,40 @@ def correlate(
 ) -> DataFrame:
     """``group`` and, for each of ``pairs`` (x, y, name of estimate, name of p-value), a correlation test per group.
 
-    Groups with fewer than ``min_rows`` rows are left out. Rows with a null in x or y don't count for that pair. With fewer
-    than two values, or where one of them doesn't vary, the estimate and p are null; Pearson's p also with fewer than three.
-    Spearman's p is exact below 1290 values without ties (unless ``exact`` is False), else by the t approximation, as
-    Pearson's is; for Kendall see :func:`..functions.distributions.kendall`, whose groups are gathered.
+    Groups with fewer than ``min_rows`` rows are left out; null keys form groups. Rows with a null or NaN in x or y don't
+    count for that pair. With fewer than two values, or where one of them doesn't vary, the estimate and p are null;
+    Pearson's p also with fewer than three. Spearman's p is exact below 1290 values without ties (unless ``exact`` is
+    False), else by the t approximation, as Pearson's is; for Kendall's see :func:`..functions.distributions.kendall_p`.
     """
     method, alternative = one_of(method, METHODS, "method"), one_of(alternative, ALTERNATIVES, "alternative")
+    names = ["r", "n", "tied"]
     if method == "kendall":
-        counted = rows.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-        return _kendall(counted.filter(F.col("__rows") >= min_rows), group, pairs, alternative, exact, continuity)
-    parts = None
-    for i, (x, y, _, _) in enumerate(pairs):
-        own = _moments(rows, group, x, y, method == "spearman")
-        named = {"r": F.lit(None).cast("double"), "n": F.lit(None).cast("bigint"), "tied": F.lit(None).cast("boolean")}
-        shown = [(F.col(c) if k == i else empty).alias(f"{c}{k}") for k in range(len(pairs)) for c, empty in named.items()]
-        part = own.filter(F.col("rows") >= min_rows).select(*group, *shown)
-        parts = part if parts is None else parts.unionByName(part)
-    if len(pairs) > 1:
-        parts = parts.groupBy(*group).agg(*[F.max(c).alias(c) for c in parts.columns if c not in group])
-    source = parts.select(*group, *[F.col(f"{c}{i}") for i in range(len(pairs)) for c in ("r", "n", "tied")])
+        names += ["s", *[f"{name}_{side}" for name in ("spread", "pairs", "triples") for side in "xy"]]
+    found = {"pearson": _pearson, "spearman": _spearman, "kendall": _kendall}[method](rows, group, pairs)
+    source = found.filter(F.col("rows") >= min_rows).select(*group, *[f"{c}{i}" for i in range(len(pairs)) for c in names])
     schema = T.StructType([source.schema[g] for g in group] + [T.StructField(n, T.DoubleType()) for _, _, r, p in pairs for n in (r, p)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = list(batch.columns[: len(group)])
             for i in range(len(pairs)):
-                r, n, tied = (batch.column(len(group) + 3 * i + j).to_pandas() for j in range(3))
-                r, n, tied = r.to_numpy(float), n.to_numpy(float), tied.to_numpy(bool)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    t = r * np.sqrt((n - 2) / (1 - r * r))
-                p = np.where((n > 2) & ~np.isnan(r), _tail(np.nan_to_num(t, nan=0.0, posinf=np.inf, neginf=-np.inf), np.maximum(n - 2, 1), alternative), np.nan)
-                if method == "spearman" and exact is not False:
-                    for j in np.flatnonzero(~tied & (n < 1290) & (n >= 2) & ~np.isnan(r)):
-                        p[j] = D.spearman_p(r[j], int(n[j]), alternative)
+                columns = [batch.column(len(group) + len(names) * i + j).to_pandas() for j in range(len(names))]
+                r, n = (c.to_numpy(float) for c in columns[:2])
+                tied = columns[2].eq(True).to_numpy()
+                p = np.full(len(r), np.nan)
+                if method == "kendall":
+                    rest = [c.to_numpy(float) for c in columns[3:]]
+                    for j in np.flatnonzero((n >= 2) & ~np.isnan(r)):
+                        s, sx, sy, px, py, tx, ty = (float(v[j]) for v in rest)
+                        p[j] = D.kendall_p(r[j], s, int(n[j]), bool(tied[j]), (sx, sy), (px, py), (tx, ty), alternative, exact, continuity)
+                else:
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        t = r * np.sqrt((n - 2) / (1 - r * r))
+                    known = (n > 2) & ~np.isnan(r)
+                    p[known] = _tail(np.nan_to_num(t[known], nan=0.0, posinf=np.inf, neginf=-np.inf), n[known] - 2, alternative)
+                    if method == "spearman" and exact is not False:
+                        for j in np.flatnonzero(~tied & (n < 1290) & (n >= 2) & ~np.isnan(r)):
+                            p[j] = D.spearman_p(r[j], int(n[j]), alternative)
                 out += [pa.array(r, from_pandas=True), pa.array(p, from_pandas=True)]
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
@@ -162,41 +247,41 @@ def adjust_p(rows: DataFrame, p: str, method: str = "BH", by: list[str] | None =
 
 
 def _hommel(p: np.ndarray) -> np.ndarray:
-    known = ~np.isnan(p)
-    out = p.copy()
-    values = p[known]
+    """By the definition: p is adjusted to the largest of Simes' tests over all sets of hypotheses that hold it.
+
+    Of the sets of m hypotheses the worst for a given one has the m - 1 largest others, so Simes' test of the m largest
+    (without the first, if it isn't in them) is all there is to look at: min over k of m p(n-m+k) / k.
+    """
+    known = np.flatnonzero(~np.isnan(p))
+    values = np.sort(p[known])
     n = len(values)
-    if n > 1:
-        order = np.argsort(values, kind="stable")
-        s = values[order]
-        rank = np.arange(1, n + 1)
-        best = np.full(n, (n * s / rank).min())
-        for m in range(n - 1, 1, -1):
-            low, high = np.arange(n - m + 1), np.arange(n - m + 1, n)
-            q = (m * s[high] / np.arange(2, m + 1)).min()
-            trial = np.empty(n)
-            trial[low] = np.minimum(m * s[low], q)
-            trial[high] = trial[n - m]
-            best = np.maximum(best, trial)
-        adjusted = np.empty(n)
-        adjusted[order] = np.maximum(best, s)
-        out[known] = adjusted
+    worst = values.copy()
+    for m in range(2, n + 1):
+        simes = m * values[n - m :] / np.arange(1, m + 1)
+        inside, outside = simes.min(), simes[1:].min()
+        # a hypothesis among the m largest is in that set; a smaller one stands first in its own, with m p as its term
+        worst[n - m :] = np.maximum(worst[n - m :], inside)
+        worst[: n - m] = np.maximum(worst[: n - m], np.minimum(m * values[: n - m], outside))
+    out = p.copy()
+    out[known] = np.minimum(worst, 1.0)[np.searchsorted(values, p[known])]
     return out
 
 
-def nearest_quantile(value: str, q: float) -> Column:
-    """Aggregate: the value at the place nearest to ``q (n - 1)`` in order; nulls don't count. The group's values are gathered."""
-    values = F.sort_array(F.collect_list(value))
-    return F.get(values, F.round(F.lit(float(q)) * (F.size(values) - 1)).cast("int"))
+def nearest_quantiles(rows: DataFrame, group: list[str], value: str, q: float, name: str, times: str | None = None) -> DataFrame:
+    """``group`` and ``name``, the value at the place nearest to ``q (n - 1)`` in order, each value counted ``times`` (a column).
 
-
-def nearest_quantiles(rows: DataFrame, group: list[str], value: str, q: float, name: str) -> DataFrame:
-    """The same per group for groups of any size: values are counted, and the place found by a running count."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("__c").over(Window.partitionBy(*group))
-    placed = counts.withColumns({"__u": upto, "__n": total})
-    return placed.filter(F.col("__u") > F.round(F.lit(float(q)) * (F.col("__n") - 1))).groupBy(*group).agg(F.min(value).alias(name))
+    ``times`` is the same in all rows of a group. Null and NaN don't count, and a group without values has no row; null
+    keys form groups. Values are counted first; the bucket with the place is found among a group's buckets, and then only
+    the values of that bucket are put in order.
+    """
+    rows = rows.select(F.struct(*group).alias("g"), _number(value).alias("v"), (F.col(times) if times else F.lit(1)).cast("bigint").alias("w")).filter(F.col("v").isNotNull())
+    counts = rows.groupBy("g", "v").agg(F.sum("w").alias("c")).withColumn("b", bucket(F.col("v")))
+    place = F.round(F.lit(float(q)) * (F.col("n") - 1))
+    found = _bucket_sums(counts, ["g"], "c").filter(F.col("start") + F.col("sum") > place).groupBy("g").agg(F.min(F.struct("b", "start", "n")).alias("x"))
+    inside = counts.join(found.select("g", "x.*"), ["g", "b"])
+    upto = F.col("start") + F.sum("c").over(Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    out = inside.withColumn("u", upto).filter(F.col("u") > place).groupBy("g").agg(F.min("v").alias(name))
+    return out.select(*[F.col("g")[c].alias(c) for c in group], name)
 
 
 def quantile_test_p(below: Column, upto: Column, n: Column, alternative: str) -> Column:

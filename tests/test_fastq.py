@@ -119,5 +119,5 @@ def test_long_pairs_are_read_in_splits(spark, tmp_path):
     with pytest.raises(Exception, match="ends before its mate"):
         fastq.read_fastq(spark, first, second, split_bytes=5000).collect()
     (tmp_path / "q2.fq").write_text("".join(record(f"q{i if i else 'x'}", n) for i, _, n in sizes))
-    with pytest.raises(Exception, match="IDs do not match: q0, qx"):
+    with pytest.raises(Exception, match="IDs do not match: rq0, rqx"):
         fastq.read_fastq(spark, first, second, split_bytes=5000).collect()

@@ -4,6 +4,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cladeflow.functions import distributions as D
 from cladeflow.operators import denoise, stats
@@ -121,7 +122,6 @@ def test_nearest_quantile(spark):
     for q in (0, 0.1, 0.5, 0.7, 0.95, 1):
         want = sorted(v for v in values if v is not None)[int(math.floor(q * 5 + 0.5))]
         assert [tuple(r) for r in stats.nearest_quantiles(df, ["g"], "x", q, "v").collect()] == [("a", want)]
-        assert {r["g"]: r["v"] for r in df.groupBy("g").agg(stats.nearest_quantile("x", q).alias("v")).collect()} == {"a": want, "b": None}
 
 
 L = "array<struct<rank:string,taxid:string,taxon:string>>"
@@ -149,7 +149,8 @@ def test_quantile_test(spark):
     t = denoise.quantile_test(reports(spark), lines, taxa=["d__Bacteria"], quantile=1.0, alpha=0.1, drop_unmatched=False)
     assert ids(t.significant) == [] and ids(t.truly) == ["2", "7"]
     t = denoise.quantile_test(reports(spark), lines, taxa=["d__Bacteria"], alternative="two", alpha=2.0)
-    assert t.data.count() == 15 + 4 * 5 and t.density_frame().count() == 5 + 20  # cell lines without a value have no row
+    copies = lambda df: sum(r["weight"] for r in df.collect())
+    assert copies(t.data) == 15 + 4 * 5 and copies(t.density_frame()) == 5 + 20  # cell lines without a value have no row
 
 
 def test_levels_and_counts(spark):
@@ -169,3 +170,39 @@ def test_levels_and_counts(spark):
     assert [(r["sample"], r["taxid"], r["counts"]) for r in out.counts.collect()] == []
     out = denoise.denoise_counts(reports(spark), kmers, umis, lines, ["D", "S"], taxa=["d__Bacteria"], alternative="less", alpha=1.1)
     assert [(r["sample"], r["taxid"], r["counts"]) for r in out.counts.collect()] == [("s0", "562", 3)]
+
+
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_a_group_with_most_rows(spark, method, monkeypatch):
+    """One key holds nine tenths of the rows; strips are small, so that it is cut many times, with ties above a strip."""
+    monkeypatch.setattr(stats, "STRIP", 40)
+    r = np.random.default_rng(8)
+    n = 900
+    x = np.where(r.random(n) < 0.2, 7.0, np.round(r.lognormal(3, 2, n), 1))
+    y = np.where(r.random(n) < 0.15, -3.0, np.round(x * r.random(n) - r.normal(0, 9, n), 0))
+    rows = [("hot", float(a), float(b)) for a, b in zip(x, y)] + [(None, float(i), float(i * i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(7)
+    got = {k["g"]: k for k in stats.correlate(df, ["g"], [("x", "y", "r", "p"), ("y", "x", "r2", "p2")], method).collect()}
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    want = kendall_brute(x, y) if method == "kendall" else np.corrcoef(rank(x), rank(y))[0, 1]
+    assert got["hot"]["r"] == pytest.approx(want) and got["hot"]["r2"] == pytest.approx(want)
+    assert got[None]["r"] == pytest.approx(1.0) and got["hot"]["p"] == pytest.approx(got["hot"]["p2"])
+    plan = stats.correlate(df, ["g"], [("x", "y", "r", "p")], method)._jdf.queryExecution().executedPlan().toString()
+    ordered = [w for w in (part.split("\n")[0] for part in plan.split("Window")[1:]) if " ASC" in w]
+    assert ordered and all("b#" in w for w in ordered)  # buckets within a group, or values within a bucket
+
+
+def test_quantile_of_a_group_with_most_rows(spark):
+    r = np.random.default_rng(9)
+    x = np.r_[np.round(r.lognormal(0, 4, 900), 2), np.zeros(60), -np.round(r.lognormal(0, 2, 40), 1), np.inf]
+    df = spark.createDataFrame([("hot", float(v), 3) for v in x] + [(None, 1.0, 2), ("nan", math.nan, 1)], "g string, x double, w int")
+    s = np.sort(np.repeat(x, 3))
+    for q in (0.0, 0.03, 0.5, 0.95, 1.0):
+        got = {k["g"]: k["v"] for k in stats.nearest_quantiles(df, ["g"], "x", q, "v", "w").collect()}
+        assert got == {"hot": s[math.floor(q * (len(s) - 1) + 0.5)], None: 1.0}
+
+
+def test_buckets_grow_with_values(spark):
+    v = [-math.inf, -1e300, -2.5, -2.4999, -1e-300, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.0000001, 3.0, 2.0**53, 1e308, math.inf]
+    b = [k["b"] for k in spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, x double").orderBy("i").select(stats.bucket(F.col("x")).alias("b")).collect()]
+    assert b == sorted(b) and b[5] == b[6] == 0 and b[0] < b[1] and b[-2] < b[-1]
