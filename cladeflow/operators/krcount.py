@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.let import let
+from ..session import checkpointed
 from .extract import lca_pairs
 
 #: Lowest quality character that passes: Phred 20 in Phred+33.
@@ -83,9 +84,12 @@ def kmer_count(lca: Column | str, seq: Column | str) -> Column:
     return F.aggregate(_mates(lca, seq), F.lit(0).cast("bigint"), lambda a, x: a + _checked_total(x["l"], x["s"]))
 
 
-def ancestors(report: DataFrame) -> DataFrame:
-    """``taxid`` and each ``ancestor`` taxid of its lineage, itself included."""
-    return report.select("taxid", F.explode(F.array_distinct(F.transform("lineage", lambda x: x["taxid"]))).alias("ancestor")).distinct()
+def ancestors(report: DataFrame, ranks: list[str] | None = None) -> DataFrame:
+    """One row for each ``taxid`` that a report has, with ``ancestors``: the taxids of its lineages, itself included, of
+    ``ranks`` if given (none may be left)."""
+    parts = F.col("lineage") if ranks is None else F.filter("lineage", lambda x: x["rank"].isin(ranks))
+    each = report.filter(F.col("taxid").isNotNull()).select("taxid", F.explode_outer(F.transform(parts, lambda x: x["taxid"])).alias("a")).distinct()
+    return each.groupBy("taxid").agg(F.sort_array(F.collect_set("a")).alias("ancestors"))
 
 
 def tag_value(label: str | None) -> Column:
@@ -103,45 +107,43 @@ def count_reads(koutreads: DataFrame, report: DataFrame, barcode_tag: str | None
     ``umi_tag`` is given. Reads that fail the quality or the complexity filter, and those of taxids that the report doesn't
     have, are left out before tags and lists are looked at. With ``ranks`` only ancestors of these ranks are counted.
 
-    Reads are summed, and distinct values reduced to the sets of taxids that have them, before the fan-out to ancestors:
-    a deep lineage multiplies counts, not reads or k-mers.
+    Reads are looked at once: each gives its k-mers, its UMI and its sums as values of the barcode. Equal values of a taxid
+    are put together before the first shuffle; the second brings the taxids of a value together. Values of the same
+    taxids are then counted, and only these counts fan out to ancestors: a deep lineage multiplies counts, not reads or
+    k-mers. The report's lineages are made once and kept in the shared checkpoint folder; a taxonomy is small beside reads.
     """
-    known = report.select("taxid").distinct()
-    up = ancestors(report)
-    if ranks is not None:
-        own = report.filter(F.col("rank").isin(ranks)).select(F.col("taxid").alias("ancestor")).distinct()
-        up = up.join(own, "ancestor", "left_semi")
-    reads = koutreads.filter(passes_quality("qual") & passes_complexity("seq")).join(known, "taxid", "left_semi")
-    rows = reads.select(tag_value(barcode_tag).alias("barcode"), "taxid", tag_value(umi_tag).alias("umi"), "lca", "seq")
-    keys = ["barcode", "ancestor"]
-
-    def summed(sums: DataFrame, name: str) -> DataFrame:
-        return sums.join(up, "taxid").groupBy(*keys).agg(F.sum("n").alias(name))
-
-    def distinct(values: DataFrame, name: str) -> DataFrame:
-        # a value's taxids first: values of the same taxids are counted together, and only these counts fan out
-        sets = values.groupBy("barcode", "v").agg(F.sort_array(F.collect_set("taxid")).alias("taxids"))
-        patterns = sets.groupBy("barcode", "taxids").agg(F.count(F.lit(1)).alias("n"))
-        fanned = patterns.select("*", F.explode("taxids").alias("taxid")).join(up, "taxid").select(*keys, "taxids", "n").distinct()
-        return fanned.groupBy(*keys).agg(F.sum("n").alias(name))
-
-    # explode_outer: from explode the optimizer would infer a condition on the k-mers, and so look at lists of reads that
+    taxonomy = checkpointed(ancestors(report, ranks).withColumn("tax", F.monotonically_increasing_id()))
+    reads = koutreads.filter(passes_quality("qual") & passes_complexity("seq")).join(taxonomy.select("taxid", "tax"), "taxid")
+    sums, kmer, umi = 0, 1, 2
+    # explode_outer: from explode the optimizer would infer a condition on the lists, and so look at those of reads that
     # the filters leave out
-    each = rows.select("barcode", "taxid", F.explode_outer(kmers("lca", "seq")).alias("v")).filter(F.col("v").isNotNull())
-    # one shuffle serves both: the k-mers' numbers sum to the total
-    times = each.groupBy("barcode", "v", "taxid").agg(F.count(F.lit(1)).alias("n"))
-    total = summed(times.groupBy("barcode", "taxid").agg(F.sum("n").alias("n")), "kmer_total")
-    unique = distinct(times.select("barcode", "v", "taxid"), "kmer_unique")
-    if umi_tag is None:
-        counted = summed(rows.groupBy("barcode", "taxid").agg(F.count(F.lit(1)).alias("n")), "reads")
-    else:
-        counted = distinct(rows.select("barcode", "taxid", F.col("umi").alias("v")), "reads")
-    # added up rather than joined: a join would make the optimizer look for null barcodes below the filters, and so at tags
-    # of reads that the filters leave out
-    names = ("reads", "kmer_total", "kmer_unique")
-    parts = [df.select(*keys, *[F.col(n) if n in df.columns else F.lit(None).cast("bigint").alias(n) for n in names]) for df in (counted, total, unique)]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
-    return out.select("barcode", F.col("ancestor").alias("taxid"), *names)
+    mates = reads.select(tag_value(barcode_tag).alias("barcode"), "tax", tag_value(umi_tag).alias("umi"), F.posexplode_outer(_mates("lca", "seq")).alias("mate", "x"))
+    mates = mates.select("barcode", "tax", "umi", "mate", F.col("x.s").alias("s"), _checked_total(F.col("x.l"), F.col("x.s")).alias("kmers"))
+    # place 0 of a mate stands for its sums, place -1 of mate 1 for the UMI, the others are those of k-mers
+    first = F.when(F.col("mate") == 0, F.lit(0 if umi_tag is None else -1)).otherwise(F.lit(0))
+    each = mates.select("*", F.explode_outer(F.sequence(first, F.col("kmers").cast("int"))).alias("i"))
+    i = F.col("i")
+    # the value of sums is the taxid, so that it has no other
+    text = F.when(i > 0, F.substr("s", i, (F.length("s") + 1 - F.col("kmers")).cast("int"))).when(i == -1, F.col("umi")).otherwise(F.col("tax").cast("string"))
+    kind = F.when(i > 0, F.lit(kmer)).when(i == -1, F.lit(umi)).otherwise(F.lit(sums))
+    read = F.when((i == 0) & (F.col("mate") == 0), F.lit(1)).otherwise(F.lit(0))
+    each = each.select("barcode", kind.alias("kind"), text.alias("text"), "tax", F.when(i == 0, F.col("kmers")).otherwise(F.lit(0)).alias("n"), read.alias("reads"))
+    value = ["barcode", "kind", "text"]
+    own = each.groupBy(*value, "tax").agg(F.sum("n").alias("n"), F.sum("reads").alias("reads")).repartition(*value)
+    sets = own.groupBy(*value).agg(F.min("tax").alias("low"), F.max("tax").alias("high"), F.count(F.lit(1)).alias("taxa"), F.sum("n").alias("n"), F.sum("reads").alias("reads"))
+    different = F.count(F.lit(1)).alias("different")
+    # two taxids at most are all told by the least and the greatest; only sets of more are gathered
+    few = sets.filter("taxa <= 2").groupBy("barcode", "kind", "low", "high").agg(different, F.sum("n").alias("n"), F.sum("reads").alias("reads"))
+    few = few.withColumn("set", F.array_distinct(F.array("low", "high"))).drop("low", "high")
+    many = own.join(sets.filter("taxa > 2").select(*value).hint("shuffle_hash"), value, "left_semi").groupBy(*value).agg(F.sort_array(F.collect_set("tax")).alias("set"))
+    many = many.groupBy("barcode", "kind", "set").agg(different).withColumns({"n": F.lit(0).cast("bigint"), "reads": F.lit(0).cast("bigint")})
+    counts = few.unionByName(many).withColumn("tax", F.explode("set"))
+    up = counts.join(taxonomy.select("tax", "ancestors"), "tax").drop("tax")
+    up = up.withColumn("ancestor", F.explode("ancestors")).drop("ancestors").distinct()
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)))
+    number = of(sums, "reads") if umi_tag is None else of(umi, "different")
+    out = up.groupBy("barcode", "ancestor").agg(number.alias("reads"), of(sums, "n").alias("kmer_total"), of(kmer, "different").alias("kmer_unique"))
+    return out.select("barcode", F.col("ancestor").alias("taxid"), "reads", "kmer_total", "kmer_unique")
 
 
 def count_matrix(counts: DataFrame, value: str, barcodes: list[str]) -> DataFrame:

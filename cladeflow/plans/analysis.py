@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import ranges as R
 from ..functions import ranks as ranks_of
 from ..operators import denoise, extract, koutreads, krcount, refine, stats, taxonomy
-from ..session import table
+from ..session import checkpointed, table
 
 RANKS = ["D", "K", "P", "C", "O", "F", "G", "S", "S1", "S2"]
 #: A taxid that is excluded as the host's.
@@ -140,10 +140,14 @@ def reads_extract_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cell_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A read of every umi row with a barcode, a UMI and a taxid."""
-    rows = table(spark, sf_dir, "umi").filter(F.col("barcode").isNotNull() & F.col("umi").isNotNull() & F.col("taxid").isNotNull())
-    bases = F.concat("barcode", "umi")
-    return rows.select("umi_id", "barcode", "umi", "taxid", F.concat(bases, F.reverse(bases)).alias("seq")).filter(F.length("seq") >= 32)
+    """A read of every umi row: barcode, UMI and 64 bases of its taxon (one of 97 places), some of one base only."""
+    place = F.concat(F.coalesce("taxid", F.lit("0")), F.lit(":"), (F.col("umi_id") % 97).cast("string"))
+    bases = F.translate(F.concat(F.md5(place), F.md5(F.concat(place, F.lit("+")))), "0123456789abcdef", "ACGTACGTACGTACGT")
+    insert = F.when(F.col("umi_id") % 61 == 0, F.repeat(F.lit("A"), F.lit(64))).otherwise(bases)
+    qual = F.concat(F.repeat(F.lit("I"), F.lit(63)), F.when(F.col("umi_id") % 53 == 0, F.lit("4")).otherwise(F.lit("5")))
+    barcode, umi = F.coalesce("barcode", F.lit("")), F.coalesce("umi", F.lit(""))
+    rows = table(spark, sf_dir, "umi").select("umi_id", "taxid", barcode.alias("barcode"), umi.alias("umi"), insert.alias("insert"), qual.alias("insert_qual"))
+    return rows.withColumn("seq", F.concat("barcode", "umi", "insert"))
 
 
 def refined_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,14 +164,19 @@ def refined_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _koutreads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cell reads as classified reads with four k-mers each."""
+    """The cell reads as classified reads, their tags cut off, with 34 k-mers (of 31 bases) each.
+
+    They are written once, as classified reads are: else the optimizer would make their bases anew for every use of them.
+    """
     tags = F.create_map(F.lit("BARCODE"), F.col("barcode"), F.lit("UMI"), F.col("umi"))
-    return _cell_reads(spark, sf_dir).select("umi_id", "taxid", tags.alias("tags"), F.concat("taxid", F.lit(":3 0:1")).alias("lca"), "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
+    lca = F.concat(F.coalesce("taxid", F.lit("0")), F.lit(":20 0:14"))
+    rows = _cell_reads(spark, sf_dir).select("umi_id", "taxid", tags.alias("tags"), lca.alias("lca"), F.col("insert").alias("seq"), F.col("insert_qual").alias("qual"))
+    return checkpointed(rows.repartition("umi_id"))
 
 
 def read_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each cell read passes the complexity filter, and the quality filter with the read itself as qualities."""
-    return _koutreads(spark, sf_dir).select("umi_id", krcount.passes_complexity("seq").alias("complex"), krcount.passes_quality("seq", 66).alias("good"))
+    """Whether each cell read passes the complexity filter and the quality filter."""
+    return _koutreads(spark, sf_dir).select("umi_id", krcount.passes_complexity("seq").alias("complex"), krcount.passes_quality("qual").alias("good"))
 
 
 def read_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +194,29 @@ def krcount_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return krcount.count_reads(_koutreads(spark, sf_dir), _report(spark, sf_dir))
 
 
+def krcount_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of genera and species only."""
+    return krcount.count_reads(_koutreads(spark, sf_dir), _report(spark, sf_dir), ranks=["G", "S"])
+
+
+def krcount_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of pairs, each read cut into mates of 32 bases with two k-mers each."""
+    mates = lambda c: F.concat_ws(" ", F.substring(c, 1, 32), F.substring(c, 33, 32))
+    taxid = F.coalesce("taxid", F.lit("0"))
+    lca = F.concat(taxid, F.lit(":2 |:| A:1 "), taxid, F.lit(":1"))
+    rows = _koutreads(spark, sf_dir).withColumns({"seq": mates(F.col("seq")), "qual": mates(F.col("qual")), "lca": lca})
+    return krcount.count_reads(rows, _report(spark, sf_dir), "BARCODE", "UMI")
+
+
+#: Barcodes that the matrix has columns for.
+CELLS = ["AGCACGAGATCCTTCA", "GTCGGCAGGTTCCAAG", "CATCTGGACTGTGGGA", "NNNNNNNNNNNNNNNN"]
+
+
+def krcount_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UMIs of all taxa as a matrix, with a column for each of a few given barcodes."""
+    return krcount.count_matrix(krcount_umi(spark, sf_dir), "reads", CELLS)
+
+
 def taxa_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "umi")
     return denoise.taxa_counts(rows, RANKS, "sample_id")
@@ -290,7 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         report_lineage, taxonomy_filter, select_descendants, select_own, rank_table, rank_order, koutput_taxids, koutput_filter, koutput_filter_exact,
-        koutreads_join, reads_extract, koutreads_join_pairs, reads_extract_pairs, refined_reads, refined_tags, read_filters, read_kmers, krcount_umi, krcount_bulk, taxa_counts, rpmm,
+        koutreads_join, reads_extract, koutreads_join_pairs, reads_extract_pairs, refined_reads, refined_tags, read_filters, read_kmers, krcount_umi, krcount_bulk, krcount_ranks, krcount_pairs, krcount_matrix, taxa_counts, rpmm,
         quantile_test, quantile_unmatched, adjusted_p, sample_correlation, sample_level, barcode_correlation, barcode_level, denoise_counts, denoise_significant,
         rpmm_domains, quantile_test_domains, quantile_unmatched_domains, adjusted_p_domains,
     )
@@ -314,9 +346,12 @@ WITH RECURSIVE k AS (
   SELECT * FROM report, first_domain WHERE len(list_filter(lineage, lambda x: x.rank = 'D' AND x.taxon = d)) > 0
 )"""
 _TAXID = "CASE WHEN contains(taxid_text, '(taxid ') THEN nullif(regexp_extract(taxid_text, '\\(taxid ([^)]*)\\)', 1), '') ELSE taxid_text END"
-_CELLS = """cells AS (
-  SELECT umi_id, barcode, umi, taxid, barcode || umi || reverse(barcode || umi) AS seq FROM umi
-  WHERE barcode IS NOT NULL AND umi IS NOT NULL AND taxid IS NOT NULL AND length(barcode || umi) >= 16
+_CELLS = """placed_reads AS (
+  SELECT umi_id, taxid, coalesce(barcode, '') AS barcode, coalesce(umi, '') AS umi, coalesce(taxid, '0') || ':' || (umi_id % 97) AS place FROM umi
+), cells AS (
+  SELECT *, barcode || umi || "insert" AS seq FROM (
+    SELECT umi_id, taxid, barcode, umi, CASE WHEN umi_id % 61 = 0 THEN repeat('A', 64) ELSE translate(md5(place) || md5(place || '+'), '0123456789abcdef', 'ACGTACGTACGTACGT') END AS "insert",
+      repeat('I', 63) || CASE WHEN umi_id % 53 = 0 THEN '4' ELSE '5' END AS qual FROM placed_reads)
 )"""
 _READS = f"""named AS (
   SELECT *, {_TAXID} AS taxid FROM koutput
@@ -333,10 +368,19 @@ _PAIRS = f"""named AS (
   SELECT id, x.taxid AS taxid, x.lca AS lca, translate(md5(id), '0123456789abcdef', 'ACGTACGTACGTACGT')[1:28] AS tags,
     rpad('A', regexp_extract(x.length, '^[0-9]+')::INTEGER, 'CGTA') AS mate1, rpad('T', regexp_extract(x.length, '[0-9]+$')::INTEGER, 'GCAT') AS mate2 FROM paired
 )"""
-_MOST = "list_max(list_transform(list_distinct(string_split(seq, '')), lambda b: length(seq) - length(replace(seq, b, ''))))"
-_PASSES = f"(length(seq) < 20 OR {_MOST} <= length(seq) - 20)"
+_MOST = "list_max(list_transform(list_distinct(string_split({0}, '')), lambda b: length({0}) - length(replace({0}, b, ''))))"
+_PASSES = f"(length({{0}}) < 20 OR {_MOST} <= length({{0}}) - 20)"
+_GOOD = "NOT regexp_matches(qual, '[\\x00-\\x34]')"
 _UP = "up AS (SELECT DISTINCT taxid, unnest(list_transform(lineage, lambda x: x.taxid)) AS ancestor FROM report)"
-_KMERS = f"kept AS (SELECT *, list_transform(range(1, 5), lambda i: substr(seq, i, length(seq) - 3)) AS kmers FROM cells WHERE {_PASSES})"
+_RANKED_UP = "up AS (SELECT DISTINCT taxid, unnest(list_transform(list_filter(lineage, lambda x: x.rank IN ('G', 'S')), lambda x: x.taxid)) AS ancestor FROM report)"
+_WINDOWS = """list_transform(range(1, 35), lambda i: substr("insert", i, 31))"""
+_KMERS = f"""kept AS (SELECT *, {_WINDOWS} AS kmers FROM cells WHERE {_PASSES.format('"insert"')} AND {_GOOD})"""
+_PAIR_KMERS = f"""kept AS (
+  SELECT *, list_transform([1, 2, 33, 34], lambda i: substr("insert", i, 31)) AS kmers FROM cells WHERE {_PASSES.format('"insert"[1:32]')} AND {_PASSES.format('"insert"[33:]')} AND {_GOOD}
+)"""
+_COUNTED = """SELECT {barcode} AS barcode, ancestor AS taxid, {reads} AS reads, sum(len(kmers))::BIGINT AS kmer_total, len(list_distinct(flatten(list(kmers)))) AS kmer_unique
+FROM kept JOIN up USING (taxid) GROUP BY {by}"""
+_CELL_COUNTS = _COUNTED.format(barcode="barcode", reads="count(DISTINCT umi)", by="barcode, ancestor")
 _RPMM = """totals AS (
   SELECT report_id, sum(total_reads) AS t FROM report, first_domain WHERE rank = 'D' AND taxon = d GROUP BY report_id
 ), own AS (
@@ -405,14 +449,15 @@ SELECT id, taxid, tags[1:16] AS barcode, tags[17:28] AS umi, lca, mate1 || ' ' |
     "reads_extract_pairs": f"{_TREE}, {_PAIRS}\nSELECT id, tags || mate1 AS seq1, mate2 AS seq2 FROM pairs WHERE id IN (SELECT id FROM named WHERE taxid IN (SELECT taxid FROM inside))",
     "refined_reads": f"WITH {_CELLS}\nSELECT umi_id, 'x T{{UMI:' || seq[17:22] || ':BARCODE:' || seq[1:16] || '}}' AS \"desc\", seq[25:] AS seq, repeat('I', length(seq) - 24) AS qual FROM cells",
     "refined_tags": f"WITH {_CELLS}\nSELECT umi_id, seq[17:22] AS umi, seq[1:16] AS barcode FROM cells",
-    "read_filters": f"WITH {_CELLS}\nSELECT umi_id, {_PASSES} AS complex, NOT regexp_matches(seq, '[\\x00-\\x41]') AS good FROM cells",
-    "read_kmers": f"WITH {_CELLS}\nSELECT taxid, count(*) AS n, count(DISTINCT kmer) AS n_unique FROM (SELECT taxid, unnest(list_transform(range(1, 5), lambda i: substr(seq, i, length(seq) - 3))) AS kmer FROM cells) GROUP BY taxid",
-    "krcount_umi": f"""{_TREE}, {_CELLS}, {_UP}, {_KMERS}
-SELECT barcode, ancestor AS taxid, count(DISTINCT umi) AS reads, sum(len(kmers))::BIGINT AS kmer_total, len(list_distinct(flatten(list(kmers)))) AS kmer_unique
-FROM kept JOIN up USING (taxid) GROUP BY barcode, ancestor""",
-    "krcount_bulk": f"""{_TREE}, {_CELLS}, {_UP}, {_KMERS}
-SELECT '' AS barcode, ancestor AS taxid, count(*) AS reads, sum(len(kmers))::BIGINT AS kmer_total, len(list_distinct(flatten(list(kmers)))) AS kmer_unique
-FROM kept JOIN up USING (taxid) GROUP BY ancestor""",
+    "read_filters": f"""WITH {_CELLS}\nSELECT umi_id, {_PASSES.format('"insert"')} AS complex, {_GOOD} AS good FROM cells""",
+    "read_kmers": f"WITH {_CELLS}\nSELECT taxid, count(*) AS n, count(DISTINCT kmer) AS n_unique FROM (SELECT taxid, unnest({_WINDOWS}) AS kmer FROM cells) GROUP BY taxid",
+    "krcount_umi": f"{_TREE}, {_CELLS}, {_UP}, {_KMERS}\n{_CELL_COUNTS}",
+    "krcount_bulk": f"{_TREE}, {_CELLS}, {_UP}, {_KMERS}\n" + _COUNTED.format(barcode="''", reads="count(*)", by="ancestor"),
+    "krcount_ranks": f"{_TREE}, {_CELLS}, {_RANKED_UP}, {_KMERS}\n" + _COUNTED.format(barcode="''", reads="count(*)", by="ancestor"),
+    "krcount_pairs": f"{_TREE}, {_CELLS}, {_UP}, {_PAIR_KMERS}\n{_CELL_COUNTS}",
+    "krcount_matrix": f"{_TREE}, {_CELLS}, {_UP}, {_KMERS}, counted AS ({_CELL_COUNTS})\nSELECT taxid, "
+    + ", ".join(f"max(reads) FILTER (barcode = '{b}') AS \"{b}\"" for b in CELLS)
+    + " FROM counted GROUP BY taxid",
     "taxa_counts": _COUNTS.format(sample="sample_id", where=""),
     "denoise_counts": f"""{_TREE}, {_RPMM}, {_ENOUGH}, varied AS (
   SELECT sample_id, taxid FROM (SELECT *, count(*) OVER (PARTITION BY sample_id, taxid, taxa) AS c FROM kmer WHERE kmer_len >= 3)
