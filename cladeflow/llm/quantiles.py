@@ -2,21 +2,27 @@
 
 A value is quantized to the 24 leading bits of its order-preserving form (sign, exponent, 12 bits of mantissa): a
 universe of 2^24 ordered leaves under a binary tree, in which node ``x`` has the children ``2x`` and ``2x + 1``, the root
-is 1 and leaf ``v`` is ``2^24 + v``. A digest holds counts of nodes. Digests merge by adding counts of equal nodes; then
-nodes whose family has at most ``n / k`` values are folded into the parent. Every inner node so holds at most ``n / k``
-values, and a rank read from the digest is off by at most ``24 n / k``, whatever the data and the order of merging.
+is 1 and leaf ``v`` is ``2^24 + v``. A digest holds counts of nodes. Digests merge by adding counts of equal nodes, and
+are compressed by folding nodes with few values into the parent.
+
+A rank read from a digest is off by at most its error: the largest sum of the counts of inner nodes on a way from the
+root to a leaf. Adding digests adds their errors at most, and compression is allowed only as far as the error, which is
+measured, stays within the share of the group's values that was asked for. So the bound holds for any data and any order
+of merging; half of the share is used in the tasks that read rows, the rest in merging.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 HEIGHT = 24
 #: Largest relative difference of a reported value from one in its leaf.
@@ -44,12 +50,6 @@ def leaf_values(v: np.ndarray) -> np.ndarray:
     return np.where(positive, wide ^ _SIGN, ~(wide | _LOW)).view(np.float64)
 
 
-def compression(rank_error: float) -> int:
-    if not 0 < rank_error <= 1:
-        raise ValueError("rank_error must be above 0 and at most 1")
-    return math.ceil(HEIGHT / rank_error)
-
-
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of equal keys added; keys sorted."""
     order = np.argsort(keys, kind="stable")
@@ -58,193 +58,333 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
 
 
-def compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests of many groups (numbered from 0), compressed; equal nodes of a group are added first."""
-    base = HEIGHT + 1
-    keys, counts = _added((group.astype(np.int64) << base) | node.astype(np.int64), count.astype(np.int64))
-    if not len(keys):
-        return keys, keys, counts
-    mask = (1 << base) - 1
-    n = np.zeros(int(keys[-1] >> base) + 1, np.int64)
-    np.add.at(n, keys >> base, counts)
-    limit = n // k
-    # each group's largest leaf stays a leaf: no value above it is ever reported
-    large = (limit[keys >> base] > 0) & np.r_[keys[1:] >> base == keys[:-1] >> base, False]
+_BASE = HEIGHT + 1
+_MASK = (1 << _BASE) - 1
+#: Nodes that a task holds before it compresses what it has, and before it gives partial digests away.
+HOLD_NODES, FLUSH_NODES = 1_000_000, 4_000_000
+
+
+def _levels(node: np.ndarray) -> np.ndarray:
+    return np.frexp(node.astype(np.float64))[1] - 1
+
+
+def _fold(keys: np.ndarray, counts: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of digests (sorted keys: group number above node) folded from the leaves up, where a family has at most the
+    group's ``limit`` values. Each group's largest leaf stays a leaf: no value above it is ever reported."""
+    large = (limit[keys >> _BASE] > 0) & np.r_[keys[1:] >> _BASE == keys[:-1] >> _BASE, False]
     done_k, done_c = [keys[~large]], [counts[~large]]
     keys, counts = keys[large], counts[large]
     if len(keys):
-        level = np.frexp((keys & mask).astype(np.float64))[1] - 1
+        level = _levels(keys & _MASK)
         at, at_c = keys[level == HEIGHT], counts[level == HEIGHT]
         for depth in range(HEIGHT, 0, -1):
-            above, above_c = keys[level == depth - 1], counts[level == depth - 1]
-            parent = (at >> base << base) | ((at & mask) >> 1)
+            upper = level == depth - 1
+            above, above_c = keys[upper], counts[upper]
+            if not len(at):
+                at, at_c = above, above_c
+                continue
+            parent = (at >> _BASE << _BASE) | ((at & _MASK) >> 1)
             both, both_c = _added(np.r_[parent, above], np.r_[at_c, above_c])
-            folds = both_c <= limit[both >> base]
-            stays = ~folds[np.searchsorted(both, parent)] if len(both) else np.array([], bool)
+            folds = both_c <= limit[both >> _BASE]
+            stays = ~folds[np.searchsorted(both, parent)]
             done_k.append(at[stays])
             done_c.append(at_c[stays])
-            kept = ~folds[np.searchsorted(both, above)] if len(both) else np.array([], bool)
+            kept = ~folds[np.searchsorted(both, above)]
             at, at_c = _added(np.r_[both[folds], above[kept]], np.r_[both_c[folds], above_c[kept]])
         done_k.append(at)
         done_c.append(at_c)
-    keys, counts = np.concatenate(done_k), np.concatenate(done_c)
-    return keys >> base, keys & mask, counts
+    return _added(np.concatenate(done_k), np.concatenate(done_c))
+
+
+def errors(keys: np.ndarray, counts: np.ndarray, groups: int) -> np.ndarray:
+    """The error of each group's digest: the largest sum of counts of inner nodes on a way from the root down."""
+    inner = (keys & _MASK) < (1 << HEIGHT)
+    keys, counts = keys[inner], counts[inner]
+    level = _levels(keys & _MASK)
+    at, most = keys[:0], counts[:0]
+    for depth in range(HEIGHT - 1, -1, -1):
+        own, own_c = keys[level == depth], counts[level == depth]
+        both = np.r_[at, own]
+        if len(both):
+            order = np.argsort(both, kind="stable")
+            sums = np.r_[most, np.zeros(len(own), np.int64)][order]
+            both = both[order]
+            starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            at, most = both[starts], np.maximum.reduceat(sums, starts)
+            most[np.searchsorted(at, own)] += own_c
+        if depth and len(at):
+            at = (at >> _BASE << _BASE) | ((at & _MASK) >> 1)
+    out = np.zeros(groups, np.int64)
+    np.maximum.at(out, at >> _BASE, most)
+    return out
 
 
-def _starts(columns: list[np.ndarray]) -> np.ndarray:
-    new = np.zeros(len(columns[0]), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return new
+def _totals(keys: np.ndarray, counts: np.ndarray, groups: int) -> np.ndarray:
+    n = np.zeros(groups, np.int64)
+    np.add.at(n, keys >> _BASE, counts)
+    return n
+
+
+def tightened(keys: np.ndarray, counts: np.ndarray, groups: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Digests compressed as far as each one's error stays within ``share`` of its values. Keys sorted, each once.
+
+    The limit of folding is halved for those groups whose error came out too large, at most down to where the height of
+    the tree alone keeps it.
+    """
+    allowed = np.floor(_totals(keys, counts, groups) * share + 1e-9).astype(np.int64)
+    limit = allowed // 2
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(keys):
+        new_k, new_c = _fold(keys, counts, limit)
+        bad = errors(new_k, new_c, groups) > allowed
+        bad &= limit > 0  # without any folding the errors are those of the parts
+        good = ~bad[new_k >> _BASE]
+        done.append((new_k[good], new_c[good]))
+        again = bad[keys >> _BASE]
+        keys, counts = keys[again], counts[again]
+        limit = limit // 2
+    if not done:
+        return keys, counts
+    keys, counts = (np.concatenate(x) for x in zip(*done))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], counts[order]
+
+
+def compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of many groups (numbered from 0) by the limit ``n / k`` of folding; equal nodes of a group are added first.
+
+    Every inner node then has at most ``n / k`` values, and the error is at most ``HEIGHT n / k``.
+    """
+    keys, counts = _added((group.astype(np.int64) << _BASE) | node.astype(np.int64), count.astype(np.int64))
+    if len(keys):
+        keys, counts = _fold(keys, counts, _totals(keys, counts, int(keys[-1] >> _BASE) + 1) // k)
+    return keys >> _BASE, keys & _MASK, counts
+
+
+def pack(node: np.ndarray, count: np.ndarray) -> bytes:
+    """One digest (nodes sorted) as bytes: differences of nodes and counts, equal bytes of all numbers together, deflated."""
+    steps, counts = np.diff(node, prepend=0).astype("<u4"), count.astype("<u8")
+    planes = [x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (steps, counts)]
+    return zlib.compress(b"".join(planes), 1)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    n = len(raw) // 12
+    steps = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").reshape(n)
+    counts = np.ascontiguousarray(raw[4 * n :].reshape(8, n).T).view("<u8").reshape(n)
+    return np.cumsum(steps.astype(np.int64)), counts.astype(np.int64)
 
 
 def _digest_schema(df: DataFrame, keys: list[str]) -> T.StructType:
-    fields = [T.StructField(c, df.schema[c].dataType) for c in keys]
-    return T.StructType([*fields, T.StructField("node", T.LongType()), T.StructField("count", T.LongType())])
+    return T.StructType([*(df.schema[c] for c in keys), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())])
 
 
-def local_digests(df: DataFrame, keys: list[str], value: str, rank_error: float = RANK_ERROR) -> DataFrame:
-    """A digest for each group of each task's rows: ``keys``, ``node``, ``count``. Nothing is shuffled."""
-    k = compression(rank_error)
+class _Held:
+    """Digests of the groups of one scope that a task has met."""
+
+    def __init__(self) -> None:
+        self.place: dict[tuple, int] = {}
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, groups: list[tuple], group: np.ndarray, node: np.ndarray, count: np.ndarray, share: float) -> None:
+        numbers = np.array([self.place.setdefault(g, len(self.place)) for g in groups], np.int64)
+        keys, counts = _added((numbers[group] << _BASE) | node, count)
+        self.keys, self.counts = _added(np.r_[self.keys, keys], np.r_[self.counts, counts])
+        if len(self.keys) > HOLD_NODES:
+            self.tighten(share)
+
+    def tighten(self, share: float) -> None:
+        self.keys, self.counts = tightened(self.keys, self.counts, len(self.place), share)
+
+    def take(self, share: float) -> Iterator[tuple[tuple, int, np.ndarray, np.ndarray]]:
+        """Every group with its number of values and its digest, which are then forgotten."""
+        self.tighten(share)
+        ends = np.searchsorted(self.keys >> _BASE, np.arange(len(self.place) + 1))
+        for g, i in self.place.items():
+            at = slice(ends[i], ends[i + 1])
+            yield g, int(self.counts[at].sum()), self.keys[at] & _MASK, self.counts[at]
+        self.__init__()
+
+
+def _groups(columns: list[pa.ChunkedArray], rows: int) -> tuple[list[tuple], np.ndarray]:
+    """The different keys of some rows, and the number of each row's among them."""
+    group = np.zeros(rows, np.int64)
+    for c in columns:
+        codes = c.combine_chunks().dictionary_encode(null_encoding="encode")
+        group = group * (len(codes.dictionary) + 1) + codes.indices.to_numpy(zero_copy_only=False)
+        group = np.unique(group, return_inverse=True)[1].reshape(-1)
+    first = np.zeros(int(group.max()) + 1, np.int64)
+    first[group[::-1]] = np.arange(rows)[::-1]
+    taken = [c.take(pa.array(first)).to_pylist() for c in columns]
+    return (list(zip(*taken)) if columns else [()]), group
+
+
+def _local(df: DataFrame, keys: list[str], scopes: dict[str, list[str]], value: str, share: float) -> DataFrame:
+    """A digest for each group of each scope in each task's rows: ``scope``, ``keys`` (null beside the scope's own), ``n``,
+    ``digest``. Rows are read once for all scopes; nothing is shuffled."""
     rows = df.select(*[F.col(f"`{c}`") for c in keys], F.col(f"`{value}`").cast("double").alias("__x"))
     rows = rows.filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
-    schema = _digest_schema(rows, keys)
-
-    def flush(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches)
-        x = t.column("__x").to_numpy()
-        group = np.zeros(len(x), np.int64)
-        for c in keys:
-            codes = t.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
-            group = group * (len(codes.dictionary) + 1) + codes.indices.to_numpy(zero_copy_only=False)
-            group = np.unique(group, return_inverse=True)[1].reshape(-1)
-        first = np.zeros(int(group.max()) + 1, np.int64)
-        first[group[::-1]] = np.arange(len(group))[::-1]
-        g, node, count = compress(group, leaves(x) + (1 << HEIGHT), np.ones(len(x), np.int64), k)
-        names = t.select(keys).take(pa.array(first[g])) if keys else None
-        columns = [names.column(c).combine_chunks() for c in keys] if keys else []
-        yield from pa.table([*columns, pa.array(node), pa.array(count)], names=[*keys, "node", "count"]).to_batches()
+    schema = T.StructType([T.StructField("scope", T.StringType()), *_digest_schema(rows, keys).fields])
+    kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held = {name: _Held() for name in scopes}
+        waiting: list[pa.RecordBatch] = []
+
+        def digest() -> None:
+            t = pa.Table.from_batches(waiting)
+            node = leaves(t.column("__x").to_numpy()) + (1 << HEIGHT)
+            one = np.ones(len(node), np.int64)
+            for name, own in scopes.items():
+                held[name].add(*_groups([t.column(c) for c in own], len(node)), node, one, share)
+            waiting.clear()
+
+        def give() -> Iterator[pa.RecordBatch]:
+            for name, own in scopes.items():
+                out = [(name, *(dict(zip(own, g)).get(c) for c in keys), n, pack(node, count)) for g, n, node, count in held[name].take(share)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+
         for batch in batches:
             if batch.num_rows:
-                held.append(batch)
-                n += batch.num_rows
-            if n >= FLUSH_ROWS:
-                yield from flush(held)
-                held, n = [], 0
-        if held:
-            yield from flush(held)
+                waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= FLUSH_ROWS:
+                digest()
+                if sum(len(h.keys) for h in held.values()) > FLUSH_NODES:
+                    yield from give()
+        if waiting:
+            digest()
+        yield from give()
 
     return rows.mapInArrow(run, schema)
 
 
-def _compressed(nodes: DataFrame, keys: list[str], rank_error: float) -> DataFrame:
-    """Digests whose equal nodes have been added, compressed group by group. A task holds some whole groups at a time."""
-    k = compression(rank_error)
-    schema = _digest_schema(nodes, keys)
-    placed = nodes.repartition(*[F.col(f"`{c}`") for c in keys]).sortWithinPartitions(*[F.col(f"`{c}`") for c in keys]) if keys else nodes.coalesce(1)
+def local_digests(df: DataFrame, keys: list[str], value: str, rank_error: float = RANK_ERROR) -> DataFrame:
+    """A digest for each group of each task's rows: ``keys``, ``n`` (values) and ``digest``. Nothing is shuffled."""
+    _checked(rank_error)
+    return _local(df, keys, {"": keys}, value, rank_error / 2).drop("scope")
 
-    def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not t.num_rows:
+
+def _checked(rank_error: float) -> None:
+    if not 0 < rank_error <= 1:
+        raise ValueError("rank_error must be above 0 and at most 1")
+
+
+def _merged(parts: DataFrame, keys: list[str], share: float, points: list[float] | None) -> DataFrame:
+    """Digests of equal ``keys`` added, or with ``points`` the percentiles read from them. A task takes its groups in order
+    and holds no more of them than some nodes; a group of any number of parts is added up as they come."""
+    placed = parts.repartition(*keys).sortWithinPartitions(*keys) if keys else parts.coalesce(1)
+    schema = _digest_schema(parts, keys)
+    if points is not None:
+        schema = T.StructType([*schema.fields[:-2], *(T.StructField(c, t) for c, t in (("p", T.DoubleType()), ("value", T.DoubleType()), ("n", T.LongType()), ("rank_error", T.LongType())))])
+    kinds = to_arrow_schema(schema)
+
+    def give(held: _Held) -> Iterator[pa.RecordBatch]:
+        if not held.place:
             return
-        columns = [t.column(c).to_numpy() if t.column(c).null_count == 0 else np.array(t.column(c).to_pylist(), object) for c in keys]
-        new = _starts(columns) if keys else np.r_[True, np.zeros(t.num_rows - 1, bool)]
-        first = np.flatnonzero(new)
-        g, node, count = compress(np.cumsum(new) - 1, t.column("node").to_numpy(), t.column("count").to_numpy(), k)
-        names = t.select(keys).take(pa.array(first[g])) if keys else None
-        made = [names.column(c).combine_chunks() for c in keys] if keys else []
-        yield from pa.table([*made, pa.array(node), pa.array(count)], names=[*keys, "node", "count"]).to_batches()
+        if points is None:
+            out = [(*g, n, pack(node, count)) for g, n, node, count in held.take(share)]
+        else:
+            value, n, error = _read(held.keys, held.counts, len(held.place), points)
+            out = [(*g, p, value[j, i], n[i], error[i]) for g, i in held.place.items() for j, p in enumerate(points)]
+            held.__init__()
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held = _Held()
+        waiting: list[tuple[tuple, np.ndarray, np.ndarray]] = []
+
+        def add() -> None:
+            order: dict[tuple, int] = {}
+            group = np.concatenate([np.full(len(node), order.setdefault(g, len(order)), np.int64) for g, node, _ in waiting])
+            held.add(list(order), group, *(np.concatenate([w[i] for w in waiting]) for i in (1, 2)), share)
+            waiting.clear()
+
+        nodes, last = 0, None
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                n += batch.num_rows
-            if n < FLUSH_ROWS or not keys:
-                continue
-            t = pa.Table.from_batches(held)
-            columns = [np.array(t.column(c).to_pylist(), object) for c in keys]
-            last = int(np.flatnonzero(_starts(columns))[-1])  # the last group may go on in the next batch
-            yield from flush(t.slice(0, last))
-            held, n = t.slice(last).to_batches(), t.num_rows - last
-        if held:
-            yield from flush(pa.Table.from_batches(held))
+            names = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in keys))) if keys else [()] * batch.num_rows
+            for g, data in zip(names, batch.column(batch.schema.get_field_index("digest")).to_pylist()):
+                if nodes > HOLD_NODES:
+                    add()
+                    nodes = 0
+                    if g != last and len(held.keys) > HOLD_NODES // 2:
+                        yield from give(held)
+                waiting.append((g, *unpack(data)))
+                nodes, last = nodes + len(waiting[-1][1]), g
+        if waiting:
+            add()
+        yield from give(held)
 
     return placed.mapInArrow(run, schema)
 
 
-def merge_digests(nodes: DataFrame, keys: list[str], rank_error: float = RANK_ERROR, shard: Column | None = None) -> DataFrame:
-    """Digests per ``keys`` from any number of digests of parts of the groups, by adding the counts of equal nodes.
+def merge_digests(parts: DataFrame, keys: list[str], rank_error: float = RANK_ERROR, shard: Column | None = None) -> DataFrame:
+    """Digests per ``keys`` from any number of digests of parts of the groups (of tasks, days, earlier merges), by adding
+    the counts of equal nodes: ``keys``, ``n``, ``digest``.
 
-    The addition is combined before its shuffle and spread by node, so that a group with a third of all rows is not one
-    task's. With ``shard``, an integer that parts the digests of a group, groups are merged and compressed per shard
-    first, so that no task meets more than the shards' compressed digests of a group.
+    With ``shard``, an integer that parts the digests of a group, groups are merged per shard first, so that no task
+    meets all parts of a group that every task has.
     """
+    _checked(rank_error)
     if shard is not None:
-        parted = nodes.withColumn("__shard", shard)
-        first = parted.groupBy(*keys, "__shard", "node").agg(F.sum("count").alias("count"))
-        nodes = _compressed(first, [*keys, "__shard"], rank_error).drop("__shard")
-    return _compressed(nodes.groupBy(*keys, "node").agg(F.sum("count").alias("count")), keys, rank_error)
+        parts = _merged(parts.withColumn("__shard", shard), [*keys, "__shard"], rank_error, None).drop("__shard")
+    return _merged(parts, keys, rank_error, None)
+
+
+def _read(keys: np.ndarray, counts: np.ndarray, groups: int, points: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values (percentile x group), numbers of values and errors."""
+    group, node = keys >> _BASE, keys & _MASK
+    level = _levels(node)
+    last = ((node + 1) << (HEIGHT - level)) - 1 - (1 << HEIGHT)
+    largest = np.full(groups, -1, np.int64)
+    leaf = level == HEIGHT
+    np.maximum.at(largest, group[leaf], last[leaf])
+    last = np.minimum(last, largest[group])
+    order = np.lexsort((-level, last, group))
+    upto = np.cumsum(counts[order])
+    n = _totals(keys, counts, groups)
+    start = np.cumsum(n) - n
+    at = [np.searchsorted(upto, start + np.maximum(np.ceil(p * n).astype(np.int64), 1)) for p in points]
+    return leaf_values(last[order][np.array(at)]), n, errors(keys, counts, groups)
 
 
 def read_percentiles(digests: DataFrame, keys: list[str], percentiles: list[float]) -> DataFrame:
-    """``keys``, ``p``, ``value``, ``n`` and ``rank_error`` (in values) of every group and percentile.
+    """``keys``, ``p``, ``value``, ``n`` and ``rank_error`` (in values, as measured) of every group and percentile.
 
-    ``value`` is at most ``rank_error`` ranks from rank ``ceil(p n)``, and off by VALUE_ERROR of itself at most.
+    ``digests`` may be parts; those of a group are added. ``value`` is at most ``rank_error`` ranks from rank
+    ``ceil(p n)``, and off by VALUE_ERROR of itself at most.
     """
     for p in percentiles:
         if not 0 <= p <= 1:
             raise ValueError("a percentile must be from 0 to 1")
-    depth = F.length(F.bin("node")) - 1
-    last = F.expr(f"shiftleft(node + 1, {HEIGHT} - (length(bin(node)) - 1)) - 1 - {1 << HEIGHT}")
-    whole = Window.partitionBy(*keys)
-    largest = F.max(F.when(F.col("node") >= (1 << HEIGHT), F.col("node") - (1 << HEIGHT))).over(whole)
-    nodes = digests.withColumn("leaf", F.least(last, largest)).withColumn("depth", depth)
-    order = Window.partitionBy(*keys).orderBy("leaf", F.col("depth").desc())
-    ranked = nodes.withColumn("upto", F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("count").over(whole))
-    found = [F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.lit(float(p)) * F.col("n")), F.lit(1)), F.col("leaf"))).alias(f"q{i}") for i, p in enumerate(percentiles)]
-    wide = ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(F.col("node") < (1 << HEIGHT), 1).otherwise(0)).alias("inner"), *found)
-    wide = wide.filter(F.col("n").isNotNull())
-    long = wide.select(*keys, "n", "inner", F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(f"q{i}").alias("leaf")) for i, p in enumerate(percentiles)])).alias("x"))
-    return long.select(*keys, F.col("x.p").alias("p"), _value(F.col("x.leaf")).alias("value"), "n", "inner")
-
+    return _merged(digests, keys, 1.0, [float(p) for p in percentiles])
 
-@F.pandas_udf(T.DoubleType())
-def _value(leaf):  # noqa: ANN001, ANN202 - a few rows per group
-    import pandas as pd
 
-    return pd.Series(leaf_values(leaf.to_numpy()))
+def _shards(df: DataFrame) -> int:
+    """Parts that the partial digests of a group are merged in: 1 for up to 256 tasks that read, else the root of their number."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    tasks = int(str(stats.sizeInBytes())) // max(1, df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return 1 if tasks <= 256 else math.isqrt(tasks)
 
 
 def percentiles(df: DataFrame, scopes: dict[str, list[str]], value: str, points: list[float], rank_error: float = RANK_ERROR) -> DataFrame:
-    """Percentiles of ``value`` for each scope, a name and its grouping columns, read from one set of partial digests.
+    """Percentiles of ``value`` for each scope, a name and its grouping columns, from one pass over the rows.
 
-    Partial digests are made per finest group (all columns of all scopes) in each task, merged per finest group, and each
-    scope is merged from those. Rows: ``scope``, all grouping columns (null where the scope doesn't group by one), ``p``,
-    ``value``, ``n``, ``rank_error`` (largest error in ranks).
+    Rows: ``scope``, all grouping columns (null where the scope doesn't group by one), ``p``, ``value``, ``n``,
+    ``rank_error`` (error in ranks as measured, at most ``rank_error`` of n).
 
     Null and NaN are no values; a group without values has no row, an empty table gives none. Infinities are values at the
     ends; -0.0 is 0.0. Null keys form groups. Ties and repeated rows each count. Other columns are not read.
     """
+    _checked(rank_error)
     every = list(dict.fromkeys(c for keys in scopes.values() for c in keys))
     short = {c: f"g{i}" for i, c in enumerate(every)}
     rows = df.select(*[F.col(f"`{c}`").alias(short[c]) for c in every], F.col(f"`{value}`").alias("x"))
     names = list(short.values())
-    # an inner error of a scope's digest adds to nothing: merging only adds nodes that respect n / k of their part
-    finest = merge_digests(local_digests(rows, names, "x", rank_error), names, rank_error)
-    shards = max(2, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    out = None
-    for scope, columns in scopes.items():
-        keys = [short[c] for c in columns]
-        rest = [c for c in names if c not in keys]
-        digests = merge_digests(finest, keys, rank_error, F.pmod(F.xxhash64(*rest), F.lit(shards))) if rest else finest
-        part = read_percentiles(digests, keys, points)
-        shown = [F.col(short[c]).alias(c) if c in columns else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in every]
-        bound = F.when(F.col("inner") == 1, F.floor(F.col("n") * F.lit(float(rank_error)))).otherwise(F.lit(0)).cast("bigint")
-        part = part.select(F.lit(scope).alias("scope"), *shown, "p", "value", "n", bound.alias("rank_error"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = _local(rows, names, {scope: [short[c] for c in keys] for scope, keys in scopes.items()}, "x", rank_error / 2)
+    keys, shards = ["scope", *names], _shards(rows)
+    if shards > 1:
+        parts = _merged(parts.withColumn("shard", F.pmod(F.spark_partition_id(), F.lit(shards))), [*keys, "shard"], rank_error, None).drop("shard")
+    out = read_percentiles(parts, keys, points)
+    return out.select("scope", *[F.col(short[c]).alias(c) for c in every], "p", "value", "n", "rank_error")

@@ -81,14 +81,49 @@ def test_percentiles_against_exact_ranks(spark, error):
 
 
 def test_digests_of_days_merge_to_that_of_all(spark):
-    df = rows(spark).filter(F.col("d").isNotNull())
+    df = rows(spark).filter(F.col("d").isNotNull()).cache()
     days = [Q.merge_digests(Q.local_digests(df.filter(F.dayofmonth("d") == i), ["k"], "x", 0.02), ["k"], 0.02) for i in range(1, 6)]
     union = days[0]
     for d in days[1:]:
         union = union.unionByName(d)
-    merged = {r["k"]: r["n"] for r in Q.merge_digests(union, ["k"], 0.02, F.pmod(F.xxhash64("node"), F.lit(3))).groupBy("k").agg(F.sum("count").alias("n")).collect()}
-    exact = {r["k"]: r["n"] for r in df.filter(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("k").agg(F.count("x").alias("n")).collect()}
-    assert merged == exact
+    merged = Q.merge_digests(union, ["k"], 0.02, F.pmod(F.xxhash64("digest"), F.lit(3)))
+    exact = {r["k"]: sorted(r["v"]) for r in df.filter(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("k").agg(F.collect_list("x").alias("v")).collect()}
+    assert {r["k"]: r["n"] for r in merged.select("k", "n").collect()} == {k: len(v) for k, v in exact.items()}
+    for r in Q.read_percentiles(merged, ["k"], [0.1, 0.5, 0.9]).collect():
+        x = exact[r["k"]]
+        rank, near = math.ceil(r["p"] * len(x)), abs(r["value"]) * Q.VALUE_ERROR
+        assert r["rank_error"] <= 0.02 * len(x)
+        assert np.searchsorted(x, r["value"] - near, "left") < rank + r["rank_error"] and np.searchsorted(x, r["value"] + near, "right") >= rank - r["rank_error"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.floats(allow_nan=False)), min_size=1, max_size=300), st.sampled_from([0.01, 0.1, 0.4]))
+def test_tightened_keeps_counts_and_its_error(points, share):
+    group, x = (np.array(v) for v in zip(*points))
+    keys, counts = Q._added((group.astype(np.int64) << 25) | (Q.leaves(x) + (1 << Q.HEIGHT)), np.ones(len(x), np.int64))
+    small_k, small_c = Q.tightened(keys, counts, 4, share)
+    n = Q._totals(keys, counts, 4)
+    assert (Q._totals(small_k, small_c, 4) == n).all() and len(small_k) <= len(keys)
+    error = Q.errors(small_k, small_c, 4)
+    assert (error <= n * share).all()
+    for g in range(4):  # by brute force: the sums over each leaf's ancestors
+        own = dict(zip((small_k[small_k >> 25 == g] & (1 << 25) - 1).tolist(), small_c[small_k >> 25 == g].tolist()))
+        paths = [sum(own.get(node >> d, 0) for d in range(25) if node >> d < 1 << Q.HEIGHT) for node in own]
+        assert error[g] == max(paths, default=0)
+        node, count = (np.array(v, np.int64) for v in zip(*sorted(own.items()))) if own else (np.zeros(0, np.int64),) * 2
+        assert all((a == b).all() for a, b in zip(Q.unpack(Q.pack(node, count)), (node, count)))
+
+
+def test_many_flushes_give_the_same_bound(spark, monkeypatch):
+    for name, v in (("FLUSH_ROWS", 700), ("HOLD_NODES", 300), ("FLUSH_NODES", 900)):
+        monkeypatch.setattr(Q, name, v)
+    r = np.random.default_rng(4)
+    x = np.sort(np.r_[r.lognormal(2, 3, 20_000), np.zeros(500)])
+    df = spark.createDataFrame([("a" if i % 3 else "b", float(v)) for i, v in enumerate(r.permutation(x))], "k string, x double").repartition(4)
+    for got in Q.percentiles(df, {"all": [], "k": ["k"]}, "x", [0.05, 0.5, 0.95], 0.02).filter("scope = 'all'").collect():
+        rank, near = math.ceil(got["p"] * len(x)), abs(got["value"]) * Q.VALUE_ERROR
+        assert 0 < got["rank_error"] <= 0.02 * len(x) and got["n"] == len(x)
+        assert np.searchsorted(x, got["value"] - near, "left") < rank + got["rank_error"] and np.searchsorted(x, got["value"] + near, "right") >= rank - got["rank_error"]
 
 
 def test_empty_and_bad(spark):
