@@ -3,8 +3,11 @@
 The packing is planned for all items at once from the number of items of each size, at most as many numbers as the
 largest capacity, however many items there are. Sizes are placed in decreasing order, each item into the open bin that
 it leaves the least space in; where none has room, a bin of the least-cost size for what is still to place is opened, and
-at the end each bin gets the smallest permitted capacity that holds its contents. The plan says which ranks among the
-items of a size go to which bins; items then find their bin by their rank, so that no task sees a bin's items together.
+at the end each bin gets the smallest permitted capacity that holds its contents. With costs that grow faster than the
+capacity the sizes to open are optimised jointly: packings that turn from the largest to smaller bins at different
+points are planned in full, and of those with no more unused space than the largest capacity alone would leave the one
+of the least cost is taken. The plan says which ranks among the items of a size go to which bins; items then find their
+bin by their rank, so that no task sees a bin's items together.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,15 @@ from ..session import checkpointed
 
 #: Permitted container capacities, in tokens.
 CAPACITIES = (1024, 2048, 4096)
+#: Points tried for turning to smaller bins, as parts of all that there is to place.
+TURNS = 20
+#: Length at which attention costs as much as all else of a training step.
+ATTENTION = 4096
+
+
+def training_costs(capacities: tuple[int, ...] = CAPACITIES) -> dict[int, float]:
+    """What a sequence of each capacity costs to train on: its length, and attention by the square of it."""
+    return {c: c * (1 + c / ATTENTION) for c in capacities}
 
 
 @dataclass
@@ -71,8 +84,12 @@ def least_cost(capacities: tuple[int, ...], costs: dict[int, float], size: int,
     return min(fit, key=lambda c: (costs[c] * max(1, -(-left // c)), -c))
 
 
-def plan_packing(counts: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, costs: dict[int, float] | None = None) -> Plan:
-    """The plan for ``counts`` items of each size (from 0 to the largest capacity). A bin costs its capacity by default."""
+def plan_packing(counts: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, costs: dict[int, float] | None = None, turn: float = 1.0, sizes: tuple[int, ...] | None = None) -> Plan:
+    """The plan for ``counts`` items of each size (from 0 to the largest capacity). A bin costs its capacity by default.
+
+    While more than ``turn`` of the sum of sizes is left to place, only bins of the largest capacity are opened. At the end
+    bins get the smallest of ``sizes`` (``capacities`` if None) that holds their contents.
+    """
     capacities = tuple(sorted(set(capacities)))
     costs = costs or {c: float(c) for c in capacities}
     if not capacities or capacities[0] <= 0:
@@ -83,6 +100,7 @@ def plan_packing(counts: dict[int, int], capacities: tuple[int, ...] = CAPACITIE
     spaces: list[int] = []
     placed: list[tuple[int, int, int, int]] = []
     left = sum(s * n for s, n in counts.items())
+    wide = int(left * turn)
     bins = 0
 
     def keep(g: _Group) -> None:
@@ -118,10 +136,11 @@ def plan_packing(counts: dict[int, int], capacities: tuple[int, ...] = CAPACITIE
                     del by_space[spaces[i]]
                     del spaces[i]
             else:
-                capacity = least_cost(capacities, costs, size, left)
+                capacity = capacities[-1] if left > wide else least_cost(capacities, costs, size, left)
                 several = capacity // size if size else n
                 # as many bins at once as the choice of size stays the same for
-                alike = min(n // several, (left - capacities[-1]) // (several * size)) if size else 1
+                until = max(capacities[-1], wide) if left > wide else capacities[-1]
+                alike = min(n // several, (left - until) // (several * size)) if size else 1
                 group = _Group(bins, max(1, alike), capacity, 0)
                 bins += group.bins
             done = put(group, size, rank, n)
@@ -129,10 +148,37 @@ def plan_packing(counts: dict[int, int], capacities: tuple[int, ...] = CAPACITIE
     groups = sorted((g for gs in by_space.values() for g in gs), key=lambda g: g.first)
     placed.sort()
     table = np.array(placed, np.int64).reshape(-1, 4)
-    capacity = [next(c for c in capacities if c >= g.used) for g in groups]  # the downsizing
+    sizes = tuple(sorted(sizes or capacities))
+    capacity = [next(c for c in sizes if c >= g.used) for g in groups]  # the downsizing
     return Plan(*table.T.copy(), np.array([g.first + g.bins - 1 for g in groups], np.int64), np.array(capacity, np.int64), np.array([g.used for g in groups], np.int64))
 
 
+def space_and_cost(plan: Plan, costs: dict[int, float]) -> tuple[int, float]:
+    """Sum of the capacities, and of the costs, of a plan's bins."""
+    bins = np.diff(np.r_[-1, plan.last])
+    each = {c: int(bins[plan.capacity == c].sum()) for c in np.unique(plan.capacity).tolist()}
+    return sum(c * n for c, n in each.items()), sum(costs[c] * n for c, n in each.items())
+
+
+def plan_jointly(counts: dict[int, int], capacities: tuple[int, ...], costs: dict[int, float]) -> Plan:
+    """The plan of the least cost among those with no more unused space than bins of the largest capacity alone leave.
+
+    Tried are all sets of capacities with the largest, each with TURNS points at which smaller bins begin to be opened:
+    some dozens of plans over the same counts, whatever the number of items.
+    """
+    capacities = tuple(sorted(set(capacities)))
+    best = plan_packing(counts, capacities[-1:], costs, sizes=capacities)
+    most, least = space_and_cost(best, costs)
+    for k in range(1, len(capacities)):
+        for smaller in combinations(capacities[:-1], k):
+            for i in range(1, TURNS + 1):
+                plan = plan_packing(counts, (*smaller, capacities[-1]), costs, i / TURNS, capacities)
+                space, cost = space_and_cost(plan, costs)
+                if space <= most and cost < least:
+                    best, least = plan, cost
+    return best
+
+
 def pieces(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
     """``id``, ``piece``, ``start`` and ``size``: items up to ``capacity`` whole, larger ones in pieces of ``capacity`` and the rest."""
     size = F.coalesce(F.col(f"`{size_col}`").cast("bigint"), F.lit(0))
@@ -149,6 +195,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: tuple[int, ..
     without gaps), ``capacity`` (of the container) and ``container_size`` (of its contents). Items are split only if
     larger than the largest capacity. A null size counts as 0, and items of size 0 lie in some container like all others;
     a negative size is an error. A repeated row is an item each time; null ids stay null; an empty table gives no rows.
+    With ``costs`` of the capacities the sizes to open are chosen by :func:`plan_jointly`.
 
     The items are written to the shared checkpoint folder once, as the plan and the assignment both need them.
     """
@@ -165,7 +212,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: tuple[int, ..
     counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
     # at most as many rows as the largest capacity + 1
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
-    plan = plan_packing(histogram, capacities, costs)
+    plan = plan_packing(histogram, capacities) if costs is None else plan_jointly(histogram, capacities, costs)
     before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     number = F.row_number().over(Window.partitionBy(*part).orderBy("id", "piece")) - 1

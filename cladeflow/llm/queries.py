@@ -73,9 +73,36 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each language, how many have ids that stand for just their text, and how many have none."""
+    texts = tokens.decode_corpus(p7_ids(spark, sf_dir)).withColumnRenamed("text", "decoded")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").join(texts, "doc_id")
+    equal = F.count_if(F.coalesce("text", F.lit("")) == F.col("decoded"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_documents"), equal.alias("n_equal"), F.count_if(F.col("n_tokens") == 0).alias("n_without"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = tokens.count_tokens(table(spark, sf_dir, "documents"))
-    return packing.pack(sized, "doc_id", "n_tokens")
+    return packing.pack(sized, "doc_id", "n_tokens", costs=packing.training_costs())
+
+
+def p8_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of documents in containers and of faults of the containers, of which there must be none."""
+    sized = tokens.count_tokens(table(spark, sf_dir, "documents"))
+    rows = checkpointed(p8_containers(spark, sf_dir))
+    parts = rows.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"))
+    whole = sized.join(parts, "doc_id", "full_outer").agg(
+        F.count("n").alias("documents"),
+        F.count_if(~F.col("size").eqNullSafe(F.col("n_tokens"))).alias("sizes_lost"),
+        F.count_if((F.col("n") != F.greatest(F.ceil(F.col("n_tokens") / max(packing.CAPACITIES)), F.lit(1))) | (F.col("n") != F.col("last") + 1)).alias("wrongly_split"),
+    )
+    bins = rows.groupBy("container_id").agg(F.sum("size").alias("size"), F.max("container_size").alias("said"), F.max("capacity").alias("capacity"))
+    filled = bins.agg(
+        F.count_if((F.col("size") > F.col("capacity")) | (F.col("size") != F.col("said"))).alias("overfull"),
+        F.count_if(~F.col("capacity").isin(list(packing.CAPACITIES))).alias("of_other_capacity"),
+        (F.max("container_id") + 1 - F.count(F.lit(1))).alias("numbers_left_out"),
+    )
+    return whole.join(F.broadcast(filled))  # one row each
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +118,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_percentiles, p2_within_bound, p4_distinct, p4_tumour_march, p7_ids, p8_containers, p9_found, p9_composition)
+    f.__name__: f for f in (p2_percentiles, p2_within_bound, p4_distinct, p4_tumour_march, p7_ids, p7_round_trip, p8_containers, p8_sound, p9_found, p9_composition)
 }
 
 _CUBE = """
@@ -107,6 +134,8 @@ WITH groups AS (
   UNION ALL SELECT 'all', NULL, NULL, count(*) FROM cell_lines WHERE rpmm IS NOT NULL AND NOT isnan(rpmm)
 )
 SELECT scope, taxid, measured_on, p, n, true AS within_bound FROM groups, (SELECT unnest({POINTS}::DOUBLE[]) AS p)""",
+    "p7_round_trip": "SELECT lang, count(*) AS n_documents, count(*) AS n_equal, count(*) FILTER (text IS NULL OR text = '') AS n_without FROM documents GROUP BY lang",
+    "p8_sound": "SELECT count(*) AS documents, 0::BIGINT AS sizes_lost, 0::BIGINT AS wrongly_split, 0::BIGINT AS overfull, 0::BIGINT AS of_other_capacity, 0::BIGINT AS numbers_left_out FROM documents",
     "p4_distinct": " UNION ALL ".join(_CUBE.format(table=t, column=c) for t, c in IDENTIFIERS),
     "p4_tumour_march": " UNION ALL ".join(
         f"SELECT '{t}.{c}' AS identifier, count(DISTINCT {c}) AS n_distinct FROM {t} WHERE ends_with(sample_id, '_T') AND seen_at::DATE BETWEEN '2025-03-01' AND '2025-03-31'"

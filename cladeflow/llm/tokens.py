@@ -208,3 +208,19 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField("id", short.schema["id"].dataType), T.StructField("n_tokens", T.LongType())])
     rest = _long_texts(long, name, folder, leaf).select("id", F.size("ids").cast("bigint").alias("n_tokens"))
     return short.mapInArrow(run, schema).unionByName(rest).withColumnRenamed("id", id_col)
+
+
+def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", name: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """``id_col``, ``text`` and ``n_tokens`` of every row's ids; the empty text where there are none. Nothing is shuffled."""
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{ids_col}`").alias("ids"))
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("n_tokens", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(name, folder)
+        for batch in batches:
+            for part in _slices(batch):
+                lists = [x or [] for x in part.column(1).to_pylist()]
+                texts = [enc.decode_bytes(x).decode("utf-8", "replace") for x in lists]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in lists], pa.int64())], names=schema.names)
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

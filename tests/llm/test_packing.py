@@ -79,3 +79,29 @@ def test_edges(spark):
     assert sorted(Counter(r["container_id"] for r in rows).values()) == [4, 4]
     with pytest.raises(Exception, match="negative"):
         packing.pack(spark.createDataFrame([(1, -1)], "doc_id long, n_tokens long"), "doc_id", "n_tokens").collect()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_capacities_are_chosen_jointly(seed):
+    r = random.Random(seed)
+    counts = Counter(min(4096, max(1, int(r.lognormvariate(7, 0.6)))) for _ in range(4000))
+    costs = packing.training_costs()
+    plan, alone = packing.plan_jointly(dict(counts), packing.CAPACITIES, costs), packing.plan_packing(dict(counts), (4096,), sizes=packing.CAPACITIES)
+    (space, cost), (most, dear) = (packing.space_and_cost(p, costs) for p in (plan, alone))
+    assert space <= most and cost < 0.97 * dear and len(np.unique(plan.capacity)) > 1
+    used, said = defaultdict(int), {}
+    for s, n in counts.items():
+        for b, k, u in zip(*plan.find(np.full(n, s, np.int64), np.arange(n, dtype=np.int64))):
+            used[b] += s
+            said[b] = (k, u)
+    assert all(used[b] == said[b][1] <= said[b][0] for b in used) and sorted(used) == list(range(len(used)))
+
+
+def test_operator_with_costs(spark):
+    r = random.Random(5)
+    df = spark.createDataFrame([(i, r.randint(0, 5000)) for i in range(900)] + [(None, None)], "doc_id long, n_tokens long")
+    rows = packing.pack(df, "doc_id", "n_tokens", costs=packing.training_costs()).collect()
+    used = defaultdict(int)
+    for x in rows:
+        used[x["container_id"]] += x["size"]
+    assert all(used[x["container_id"]] == x["container_size"] <= x["capacity"] for x in rows) and sum(used.values()) == sum(x["n_tokens"] or 0 for x in df.collect())

@@ -43,3 +43,11 @@ def test_corpus(spark, monkeypatch, apart):
     again = tokens.encode_corpus(df.unionByName(df)).collect()
     assert len(again) == 2 * len(texts)
     assert tokens.encode_corpus(df.limit(0)).collect() == []
+
+
+def test_decoded_ids_are_the_texts(spark):
+    texts = ["a b", "", None, "naïve \U0001f600 x\r\n", "don't " * 9000, "ü" * 40_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_tokens"]) for r in tokens.decode_corpus(tokens.encode_corpus(df)).collect()}
+    assert [got[i][0] for i in range(6)] == [t or "" for t in texts] and got[1][1] == got[2][1] == 0
+    assert tokens.decode_corpus(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first()["text"] == ""
