@@ -2,11 +2,13 @@
 
 Each identifier is reduced to its pattern, the set of groups (cells) that contain it. Identifiers with identical patterns
 are counted together, and the number of distinct identifiers in any union of cells is the total of the patterns that meet
-it. Patterns of disjoint sets of identifiers merge by adding totals; partial results of days or partitions with common
-identifiers merge as (identifier, cell) pairs, of which repeated ones are dropped.
+it. The counts are exact: the error bound is 0.
 
-The few identifiers with more than HOT_SHARE of the rows are not gathered into one pattern: each stays as rows of its
-own, one for each cell, with the weight 1. The counts are exact: the error bound is 0.
+No set is larger than MAX_CELLS: the cells of an identifier that has more are cut into pieces that keep its name, and an
+identifier with a large share of the rows, whose cells no single task should meet, stays as one row for each cell.
+
+Partial results of days or partitions are rows of identifiers with their cells in that part. They merge by putting an
+identifier's cells together, whatever identifiers the parts have in common.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: An identifier with a larger share of the rows is hot; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
 _TRACKED = 16_384
+#: Cells of one set at most.
+MAX_CELLS = 1_024
 _SEP, _NULL = "\x01", "\x02"
 
 
@@ -32,24 +36,21 @@ def hot_identifiers(pairs: DataFrame, share: float = HOT_SHARE) -> list[str]:
 
 @dataclass(frozen=True)
 class Patterns:
-    """``cold``: ``cells`` (sorted array of structs of the dimensions) and ``n`` identifiers with just these cells.
-    ``hot``: one row (``id``, dimensions) for each cell of a hot identifier. ``dims``: the dimensions' names."""
+    """``rows``: ``cells`` (sorted array of structs of the dimensions), ``id`` and ``n``. Where ``id`` is null, ``n``
+    identifiers have just these cells; else they are some of the cells of that one identifier. ``dims``: the dimensions' names."""
 
-    cold: DataFrame
-    hot: DataFrame
+    rows: DataFrame
     dims: tuple[str, ...]
 
     def merge(self, other: Patterns) -> Patterns:
-        """Patterns of both, whose cold identifiers must be disjoint (as of shards by a hash of the identifier)."""
-        cold = self.cold.unionByName(other.cold).groupBy("cells").agg(F.sum("n").alias("n"))
-        return Patterns(cold, self.hot.unionByName(other.hot).distinct(), self.dims)
+        """Patterns of both, which must have no identifier in common (as shards by a hash of the identifier)."""
+        return Patterns(self.rows.unionByName(other.rows).groupBy("id", "cells").agg(F.sum("n").alias("n")), self.dims)
 
     def count_where(self, chosen) -> DataFrame:  # noqa: ANN001 - a function from {dimension: Column} to a condition
         """``n_distinct``, one row: the identifiers in the union of all cells for which ``chosen`` holds."""
-        cold = self.cold.filter(F.exists("cells", lambda c: F.coalesce(chosen({d: c[d] for d in self.dims}), F.lit(False)))).select("n")
-        hot = self.hot.filter(F.coalesce(chosen({d: F.col(d) for d in self.dims}), F.lit(False)))
-        hot = hot.select("id").distinct().groupBy().agg(F.count(F.lit(1)).alias("n"))
-        return cold.unionByName(hot).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_distinct"))
+        met = self.rows.filter(F.exists("cells", lambda c: F.coalesce(chosen({d: c[d] for d in self.dims}), F.lit(False))))
+        each = met.groupBy("id").agg(F.sum("n").alias("n")).select(_weight())
+        return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_distinct"))
 
     def count_groups(self) -> DataFrame:
         """Distinct identifiers of every group of every subset of the dimensions, the whole included.
@@ -65,20 +66,54 @@ class Patterns:
         def groups_of(i: int) -> Column:
             return F.array_distinct(F.transform("cells", lambda c: coded(lambda d: c[d])[i]))
 
-        cold = self.cold.select("n", F.explode(F.concat(*[groups_of(i) for i in range(len(sets))])).alias("g")).groupBy("g").agg(F.sum("n").alias("n"))
-        hot = self.hot.select("id", F.explode(F.array(*coded(F.col))).alias("g")).distinct().groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-        sums = cold.unionByName(hot).groupBy("g").agg(F.sum("n").alias("n_distinct")).withColumn("x", F.split("g", _SEP))
+        each = self.rows.select("id", "n", F.explode(F.concat(*[groups_of(i) for i in range(len(sets))])).alias("g"))
+        named = each.groupBy("id", "g").agg(F.sum("n").alias("n")).select("g", _weight())
+        sums = named.groupBy("g").agg(F.sum("n").alias("n_distinct")).withColumn("x", F.split("g", _SEP))
+        kinds = self.rows.schema["cells"].dataType.elementType
         out = [F.col("n_distinct")]
         for i, d in enumerate(self.dims):
             by = F.substring(F.col("x")[0], i + 1, 1) == "1"
             # the dimension's place among those of its set
             place = F.length(F.replace(F.substring(F.col("x")[0], 1, i + 1), F.lit("0"), F.lit("")))
             text = F.get(F.col("x"), place)
-            kind = self.hot.schema[d].dataType
-            out += [by.alias(f"by_{d}"), F.when(by & (text != _NULL), text).cast(kind).alias(d)]
+            out += [by.alias(f"by_{d}"), F.when(by & (text != _NULL), text).cast(kinds[d].dataType).alias(d)]
         return sums.select(*out)
 
 
+def _weight() -> Column:
+    """Identifiers that a sum of ``n`` stands for: a named one counts once, in however many pieces it lies."""
+    return F.when(F.col("id").isNull(), F.col("n")).otherwise(F.lit(1)).alias("n")
+
+
+def _in_pieces(pairs: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
+    """``keys``, ``cells`` (sorted, at most MAX_CELLS) and ``whole`` (whether these are all) from rows of keys and dimensions.
+
+    One shuffle by ``keys``; what has too many cells for one set is cut by their order, without being gathered.
+    """
+    own = Window.partitionBy(*keys)
+    rows = pairs.repartition(*keys).groupBy(*keys, *dims).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = rows.withColumns({"__n": F.count(F.lit(1)).over(own), "__i": F.row_number().over(own.orderBy(*dims))})
+    rows = rows.withColumn("__piece", F.when(F.col("__n") > MAX_CELLS, F.floor((F.col("__i") - 1) / MAX_CELLS)).otherwise(0))
+    cells = F.sort_array(F.collect_list(F.struct(*dims))).alias("cells")
+    return rows.groupBy(*keys, "__piece").agg(cells, (F.max("__n") <= MAX_CELLS).alias("whole")).drop("__piece")
+
+
+def _pairs(df: DataFrame, identifier: str, dims: dict[str, Column], **more: Column) -> DataFrame:
+    known = df.filter(F.col(f"`{identifier}`").isNotNull())
+    return known.select(F.col(f"`{identifier}`").cast("string").alias("id"), *[e.alias(d) for d, e in dims.items()], *[e.alias(c) for c, e in more.items()])
+
+
+def _patterns(pairs: DataFrame, dims: list[str]) -> Patterns:
+    hot_ids = hot_identifiers(pairs)
+    cold = pairs.filter(~F.col("id").isin(hot_ids)) if hot_ids else pairs
+    sets = _in_pieces(cold, ["id"], dims)
+    rows = sets.groupBy(F.when(~F.col("whole"), F.col("id")).alias("id"), "cells").agg(F.count(F.lit(1)).alias("n"))
+    if hot_ids:
+        hot = pairs.filter(F.col("id").isin(hot_ids)).distinct()
+        rows = rows.unionByName(hot.select("id", F.array(F.struct(*dims)).alias("cells"), F.lit(1).cast("bigint").alias("n")))
+    return Patterns(rows, tuple(dims))
+
+
 def membership_patterns(df: DataFrame, identifier: str, dims: dict[str, Column]) -> Patterns:
     """The patterns of ``identifier`` over cells of ``dims`` (names and expressions over ``df``).
 
@@ -86,18 +121,23 @@ def membership_patterns(df: DataFrame, identifier: str, dims: dict[str, Column])
     told from an empty text. Repeated rows change nothing; an empty table has no patterns. Dimensions must not hold the
     control characters 1 and 2. Other columns are not read.
     """
-    pairs = df.filter(F.col(f"`{identifier}`").isNotNull()).select(F.col(f"`{identifier}`").cast("string").alias("id"), *[e.alias(d) for d, e in dims.items()])
-    hot_ids = hot_identifiers(pairs)
-    hot = pairs.filter(F.col("id").isin(hot_ids)).distinct() if hot_ids else pairs.limit(0)
-    cold = pairs.filter(~F.col("id").isin(hot_ids)) if hot_ids else pairs
-    # one shuffle, by identifier: no cold one has more than HOT_SHARE of the rows
-    cells = cold.repartition("id").groupBy("id").agg(F.sort_array(F.collect_set(F.struct(*dims))).alias("cells"))
-    return Patterns(cells.groupBy("cells").agg(F.count(F.lit(1)).alias("n")), hot, tuple(dims))
+    return _patterns(_pairs(df, identifier, dims), list(dims))
+
+
+def partial_patterns(df: DataFrame, identifier: str, dims: dict[str, Column], part: Column | None = None) -> DataFrame:
+    """The partial result of some rows, or of each value of ``part``: ``part`` (null if none), ``id`` and ``cells``.
+
+    It can be stored, and merged with any others by :func:`merge_partials`. Nulls, ties and so on as in
+    :func:`membership_patterns`. An identifier's cells in one part are bounded by the part's rows, and lie in pieces.
+    """
+    pairs = _pairs(df, identifier, dims, part=F.lit(None).cast("string") if part is None else part)
+    return _in_pieces(pairs, ["part", "id"], list(dims)).drop("whole")
 
 
-def exact_pairs(parts: list[DataFrame]) -> DataFrame:
-    """(identifier, cell) pairs of several partial results as one: the mergeable state of parts that share identifiers."""
-    out = parts[0]
+def merge_partials(parts: list[DataFrame]) -> Patterns:
+    """The patterns of all rows that went into the partial results, which may have identifiers and cells in common."""
+    rows = parts[0].select("id", "cells")
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+        rows = rows.unionByName(p.select("id", "cells"))
+    dims = [f.name for f in rows.schema["cells"].dataType.elementType]
+    return _patterns(rows.select("id", F.inline("cells")), dims)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, table
@@ -43,30 +43,44 @@ def p2_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _dims() -> dict[str, Column]:
+    return {"day": F.to_date("seen_at"), "sample_id": F.col("sample_id"), "taxid": F.col("taxid")}
+
+
 def _patterns(spark: SparkSession, sf_dir: str, name: str, identifier: str) -> distinct.Patterns:
-    dims = {"day": F.to_date("seen_at"), "sample_id": F.col("sample_id"), "taxid": F.col("taxid")}
-    return distinct.membership_patterns(table(spark, sf_dir, name), identifier, dims)
+    return distinct.membership_patterns(table(spark, sf_dir, name), identifier, _dims())
 
 
 IDENTIFIERS = (("umi", "umi"), ("umi", "barcode"), ("kmer", "kmer_n_unique"))
 
 
-def p4_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _of_each(count: Callable[[str, str], DataFrame]) -> DataFrame:
+    """The rows of ``count`` (table, identifier) for all identifiers, with their names."""
     out = None
     for name, identifier in IDENTIFIERS:
-        part = _patterns(spark, sf_dir, name, identifier).count_groups().select(F.lit(f"{name}.{identifier}").alias("identifier"), "*")
+        part = count(name, identifier).select(F.lit(f"{name}.{identifier}").alias("identifier"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def p4_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_each(lambda name, identifier: _patterns(spark, sf_dir, name, identifier).count_groups())
+
+
+def p4_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts from one partial result for each day, which have identifiers in common."""
+
+    def count(name: str, identifier: str) -> DataFrame:
+        days = distinct.partial_patterns(table(spark, sf_dir, name), identifier, _dims(), F.to_date("seen_at").cast("string"))
+        return distinct.merge_partials([checkpointed(days)]).count_groups()
+
+    return _of_each(count)
+
+
 def p4_tumour_march(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct identifiers in one combination of groups: tumour samples on the days of March 2025, all taxids."""
-    out = None
-    for name, identifier in IDENTIFIERS:
-        chosen = lambda c: c["sample_id"].endswith("_T") & c["day"].between("2025-03-01", "2025-03-31")
-        part = _patterns(spark, sf_dir, name, identifier).count_where(chosen).select(F.lit(f"{name}.{identifier}").alias("identifier"), "n_distinct")
-        out = part if out is None else out.unionByName(part)
-    return out
+    chosen = lambda c: c["sample_id"].endswith("_T") & c["day"].between("2025-03-01", "2025-03-31")
+    return _of_each(lambda name, identifier: _patterns(spark, sf_dir, name, identifier).count_where(chosen))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +132,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_percentiles, p2_within_bound, p4_distinct, p4_tumour_march, p7_ids, p7_round_trip, p8_containers, p8_sound, p9_found, p9_composition)
+    f.__name__: f for f in (p2_percentiles, p2_within_bound, p4_distinct, p4_merged_days, p4_tumour_march, p7_ids, p7_round_trip, p8_containers, p8_sound, p9_found, p9_composition)
 }
 
 _CUBE = """
@@ -126,6 +140,8 @@ SELECT '{table}.{column}' AS identifier, grouping(day) = 0 AS by_day, grouping(s
   day, sample_id, taxid, count(DISTINCT {column}) AS n_distinct
 FROM (SELECT seen_at::DATE AS day, sample_id, taxid, {column} FROM {table} WHERE {column} IS NOT NULL) GROUP BY CUBE (day, sample_id, taxid)"""
 
+_CUBES = " UNION ALL ".join(_CUBE.format(table=t, column=c) for t, c in IDENTIFIERS)
+
 SQL: dict[str, str] = {
     "p2_within_bound": f"""
 WITH groups AS (
@@ -136,7 +152,8 @@ WITH groups AS (
 SELECT scope, taxid, measured_on, p, n, true AS within_bound FROM groups, (SELECT unnest({POINTS}::DOUBLE[]) AS p)""",
     "p7_round_trip": "SELECT lang, count(*) AS n_documents, count(*) AS n_equal, count(*) FILTER (text IS NULL OR text = '') AS n_without FROM documents GROUP BY lang",
     "p8_sound": "SELECT count(*) AS documents, 0::BIGINT AS sizes_lost, 0::BIGINT AS wrongly_split, 0::BIGINT AS overfull, 0::BIGINT AS of_other_capacity, 0::BIGINT AS numbers_left_out FROM documents",
-    "p4_distinct": " UNION ALL ".join(_CUBE.format(table=t, column=c) for t, c in IDENTIFIERS),
+    "p4_distinct": _CUBES,
+    "p4_merged_days": _CUBES,
     "p4_tumour_march": " UNION ALL ".join(
         f"SELECT '{t}.{c}' AS identifier, count(DISTINCT {c}) AS n_distinct FROM {t} WHERE ends_with(sample_id, '_T') AND seen_at::DATE BETWEEN '2025-03-01' AND '2025-03-31'"
         for t, c in IDENTIFIERS

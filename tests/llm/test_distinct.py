@@ -53,8 +53,25 @@ def test_any_union_and_merging(spark):
     assert whole.count_where(chosen).first()["n_distinct"] == want
     shards = [distinct.membership_patterns(df.filter(F.pmod(F.xxhash64("x"), F.lit(2)) == i), "x", dims()) for i in (0, 1)]
     assert shards[0].merge(shards[1]).count_where(chosen).first()["n_distinct"] == want
-    days = [df.filter(F.col("n") % 3 == i).select("x", "a").distinct() for i in range(3)]
-    assert distinct.exact_pairs(days).count() == df.select("x", "a").distinct().count()
+    # parts with identifiers and cells in common, one of them a merge's own part
+    parts = [distinct.partial_patterns(df.filter(F.col("n") % 3 == i), "x", dims()) for i in range(3)]
+    parts.append(distinct.partial_patterns(df.filter(F.col("n") < 999), "x", dims(), F.col("b")))
+    merged = distinct.merge_partials(parts)
+    assert merged.count_where(chosen).first()["n_distinct"] == want
+    assert {(r["by_a"], r["by_b"], r["by_c"], r["a"], r["b"], r["c"]): r["n_distinct"] for r in merged.count_groups().collect()} == exact(rows)
+
+
+@pytest.mark.parametrize("most", [1, 2, 5])
+def test_sets_are_bounded(spark, monkeypatch, most):
+    monkeypatch.setattr(distinct, "MAX_CELLS", most)
+    monkeypatch.setattr(distinct, "hot_identifiers", lambda pairs: ["hot2"])
+    rows = list(data())
+    found = distinct.membership_patterns(frame(spark, rows), "x", dims())
+    sizes = [(r["id"], len(r["cells"]), r["n"]) for r in found.rows.collect()]
+    assert max(s for _, s, _ in sizes) <= most and any(i == "hot" for i, _, _ in sizes) and any(i is None for i, _, _ in sizes)
+    assert {(r["by_a"], r["by_b"], r["by_c"], r["a"], r["b"], r["c"]): r["n_distinct"] for r in found.count_groups().collect()} == exact(rows)
+    chosen = lambda c: c["b"] == "s1"
+    assert found.count_where(chosen).first()["n_distinct"] == len({x for x, _, b, _, _ in rows if x is not None and b == "s1"})
 
 
 def test_hot_identifiers_are_found(spark):
