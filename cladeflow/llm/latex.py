@@ -1,7 +1,8 @@
 """The words of a LaTeX article's printed running text, sentence by sentence.
 
 One left-to-right scan: comments, unprinted blocks, displayed and inline formulas, references, headings, floats' captions,
-footnotes and the bibliography are left out, macros defined in the text itself are expanded, and only what lies between
+footnotes and the bibliography are left out, macros defined in the text itself are expanded (with their arguments, so that
+what a macro drops isn't printed), and only what lies between
 ``\\begin{document}`` and ``\\end{document}`` counts where these are given. Parts that a text includes from elsewhere are
 not in it. A block that a broken-off text never closes reaches to its end.
 """
@@ -47,22 +48,65 @@ _SCAN = re.compile(
 _ODD = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _WORD = re.compile(r"[^\W\d_]+(?:['\u2019-][^\W\d_]+)*|[.!?](?=[\s\x00)\"'\u2019]|\Z)|\x00")
 _ENDS = frozenset(".!?" + END)
-#: Macros within macros are expanded to this depth.
-_DEPTH = 8
+#: Text that macros may add, expansions within each other, and such of the same macro; beyond these a macro stands for
+#: nothing, so that a text can't grow without end.
+_EXPANDED, _DEPTH, _SAME = 10_000_000, 200, 8
+_OPTION = re.compile(r"\s*\[([^\]]*)\]")
+_COUNT = re.compile(r"\[(\d)\](?:\[([^\]]*)\])?")
+_TOKEN = re.compile(r"\s*(\\[a-zA-Z]+|\\.|[^\s{}])", re.DOTALL)
+_PARAMETER = re.compile(r"#([1-9])")
 
 
 class _Over(Exception):
     """The end of the document."""
 
 
+def _group(source: str, at: int) -> tuple[str, int]:
+    """The argument that begins at a place: a group in braces, or a token; empty at the end. And the place after it."""
+    start = at
+    while start < len(source) and source[start].isspace():
+        start += 1
+    if start < len(source) and source[start] == "{":
+        depth, i = 0, start
+        while i < len(source):
+            c = source[i]
+            if c == "\\":
+                i += 1
+            elif c == "{":
+                depth += 1
+            elif c == "}":
+                depth -= 1
+                if not depth:
+                    return source[start + 1 : i], i + 1
+            i += 1
+        return source[start + 1 :], len(source)
+    token = _TOKEN.match(source, at)
+    return (token[1], token.end()) if token else ("", at)
+
+
 def printed(text: str) -> str:
     """The printed running text; END at the borders of paragraphs, headings, items and blocks."""
-    macros: dict[str, str] = {}
+    macros: dict[str, tuple[int, str | None, str]] = {}  # number of arguments, value of the first if it is optional, body
     out: list[str] = []
+    room = _EXPANDED
+
+    def expand(name: str, source: str, at: int) -> tuple[str, int]:
+        """The body of a macro with its arguments, which are read from a place on, and the place after them."""
+        n, option, body = macros[name]
+        values: list[str] = []
+        if option is not None:
+            given = _OPTION.match(source, at)
+            values.append(given[1] if given else option)
+            at = given.end() if given else at
+        while len(values) < n:
+            value, at = _group(source, at)
+            values.append(value)
+        return _PARAMETER.sub(lambda p: values[int(p[1]) - 1] if int(p[1]) <= n else "", body) if n else body, at
 
-    def scan(source: str, depth: int) -> None:
+    def scan(source: str, active: tuple[str, ...]) -> None:
+        nonlocal room
         at = 0
-        for m in _SCAN.finditer(source):
+        while m := _SCAN.search(source, at):
             if m.start() > at:
                 out.append(source[at : m.start()])
             at = m.end()
@@ -79,8 +123,12 @@ def printed(text: str) -> str:
                     out.append(" ")
             elif kind == "name":
                 name = m["name"]
-                if name in macros and depth < _DEPTH:
-                    scan(macros[name], depth + 1)
+                if name in macros:
+                    # a star after the name is text unless the macro takes it
+                    body, at = expand(name, source, at)
+                    room -= len(body)
+                    if room >= 0 and len(active) < _DEPTH and active.count(name) < _SAME:
+                        scan(body, (*active, name))
                 elif name == "item" or name == "par":
                     out.append(END)
             elif kind == "escaped":
@@ -90,13 +138,13 @@ def printed(text: str) -> str:
                 elif c in " ,;:!\\/\r\n":
                     out.append(" ")
             elif kind == "body":
-                if not m["args"]:
-                    new = m["new"]
-                    if new not in macros or "providecommand" not in m[0][:15]:
-                        macros[new] = m["body"][1:-1]
+                new, count = m["new"], _COUNT.match(m["args"])
+                if new not in macros or "providecommand" not in m[0][:15]:
+                    macros[new] = (int(count[1]), count[2], m["body"][1:-1]) if count else (0, None, m["body"][1:-1])
             elif kind == "defbody":
-                if not m["defargs"].strip():
-                    macros[m["def"]] = m["defbody"][1:-1]
+                arguments = m["defargs"].strip()
+                if re.fullmatch(r"(?:#[1-9])*", arguments):  # arguments set off by other text are not known here
+                    macros[m["def"]] = (len(arguments) // 2, None, m["defbody"][1:-1])
             elif kind == "env":
                 if m["env"] == "document":
                     if m["edge"] == "end":
@@ -108,7 +156,7 @@ def printed(text: str) -> str:
         out.append(source[at:])
 
     try:
-        scan(text, 0)
+        scan(text, ())
     except _Over:
         pass
     return "".join(out)

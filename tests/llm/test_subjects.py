@@ -23,6 +23,14 @@ from cladeflow.llm import latex, queries, subjects
         (r"a \begin{comment} never closed. b", "a"),
         (r"A\textbf{bc} d~e f\\g; h, i", "abc d e f g h i"),
         ("ﬁsh café zero​width", "fish café zerowidth"),
+        (r"\newcommand{\x}[1]{big #1 cats}see \x{red} and \x z.", "see big red cats and big z cats |"),
+        (r"\newcommand{\draft}[1]{}a \draft{never {printed}. no} b", "a b"),
+        (r"\newcommand\y[2][old]{#1 #2}\y{dog} \y[new]{dog}", "old dog new dog"),
+        (r"\def\z#1#2{#2 #1}\z{a}{b} \def\q#1;{#1}\q c; d", "b a c d"),
+        (r"\newcommand{\a}[1]{\b{#1} e}\newcommand{\b}[1]{<#1>}\a{\b{in}}", "in e"),
+        (r"\newcommand{\r}{x \r y}\r", " ".join("x" * 8 + "y" * 8)),
+        (r"\newcommand{\x}[2]{#1 #2}\x{a", "a"),
+        ("".join(rf"\newcommand{{\m{c}}}{{\m{d} {c}}}" for c, d in zip("abcdefghijkl", "bcdefghijklm")) + r"\newcommand{\mm}{deep}\ma", "deep l k j i h g f e d c b a"),
         ("", ""), ("   ", ""), (r"\input{x} \include{y}", ""), ("\\", ""), ("{", ""), ("$", ""), (r"\def\z{\z}\z a", "a"),
     ],
 )
@@ -30,6 +38,13 @@ def test_words(text, expected):
     assert " ".join("|" if w == latex.END else w for w in latex.words(text)) == expected
 
 
+def test_macros_that_grow_without_end_stop():
+    bomb = "".join(rf"\newcommand{{\m{c}}}{{\m{d}\m{d}}}" for c, d in zip("abcdefghijklmnopqrstuvwxy", "bcdefghijklmnopqrstuvwxyz")) + r"\newcommand{\mz}{word }\ma end"
+    assert latex.words(bomb)[-1] == "end"
+    chain = "".join(rf"\newcommand{{\{'a' * i}}}{{\{'a' * (i + 1)}}}" for i in range(1, 400)) + r"\a end"
+    assert latex.words(chain) == ["end"]
+
+
 def corpus(seed, n):
     """Documents of sentences with two phrases of a subject or none, some with two subjects, stray phrases and drafts."""
     r = random.Random(seed)
@@ -86,7 +101,24 @@ def test_fit_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, "a") for i in range(3000)] + [(i, "b") for i in range(5)], "doc_id long, subject string")
     docs = spark.createDataFrame([(i, f"text {i}.") for i in range(3000)], "doc_id long, text string")
     found = subjects.fit_sample(labels, docs, 64)
-    assert 64 <= len(found) <= 64 + 64 + 5 and sum("b" in x for _, x in found) == 5
+    assert 64 <= found.num_rows <= 64 + 64 + 5 and sum("b" in x for x in found.column("subjects").to_pylist()) == 5
+
+
+def test_fit_sample_is_bounded_in_words(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "FIT_WORDS", 700)
+    labels = spark.createDataFrame([(i, "a") for i in range(300)], "doc_id long, subject string")
+    docs = spark.createDataFrame([(i, "some words here " * 10) for i in range(300)], "doc_id long, text string")
+    found = subjects.fit_sample(labels, docs, 400)
+    assert found.num_rows == 23 and sum(len(x) for x in found.column("words").to_pylist()) <= 700  # of 30 words each
+
+
+def test_thresholds_are_of_held_out_documents_and_of_each_subject():
+    docs, labels = [latex.words(t) for _, t, _, _ in corpus(6, 200)], [own for *_, own in corpus(6, 200)]
+    models = subjects.fit(docs, labels, ["blue", "green", "grey", "red"])
+    assert models.thresholds.shape == (4,) and set(models.thresholds) <= set(subjects.THRESHOLDS)
+    # a subject without labels has the threshold of all together
+    more = subjects.fit(docs, labels, ["blue", "green", "grey", "none", "red"]).thresholds
+    assert more.shape == (5,) and more[3] in subjects.THRESHOLDS
 
 
 def test_queries_run(spark):
