@@ -85,7 +85,8 @@ def _pearson(rows: DataFrame, group: list[str], pairs: list[tuple[str, str, str,
 
 def _estimate(xy: str, xx: str, yy: str, n: str) -> Column:
     ratio = F.try_divide(F.col(xy), F.sqrt(xx) * F.sqrt(yy))
-    return F.when((F.col(n) >= 2) & ratio.isNotNull(), F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)))
+    # within rounding of 1 the estimate is 1: its p would else tell nothing but the rounding
+    return F.when((F.col(n) >= 2) & ratio.isNotNull(), F.when(F.abs(ratio) > 1 - 1e-12, F.signum(ratio)).otherwise(ratio))
 
 
 def _with_ranks(rows: DataFrame, group: list[str], pairs: list[tuple[str, str, str, str]]) -> tuple[DataFrame, DataFrame]:

@@ -16,8 +16,8 @@ from ..functions import ranges as R
 from ..functions import ranks as ranks_of
 from ..operators import denoise, extract, koutreads, krcount, refine, stats, taxonomy
 from ..session import checkpointed, table
+from . import tests_sql
 
-RANKS = ["D", "K", "P", "C", "O", "F", "G", "S", "S1", "S2"]
 #: A taxid that is excluded as the host's.
 HOST = ["2831896", "322656"]
 
@@ -59,8 +59,19 @@ def select_own(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.select_taxa(_report(spark, sf_dir), ranks=["G", "S"], descendants=False)
 
 
+def select_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taxids at or below the rows of the first domain's name and the first domain's taxid; missing values don't count."""
+    first = table(spark, sf_dir, "kreport").filter((F.col("rank") == "D") & (F.trim("name") == _domain(spark, sf_dir)))
+    return taxonomy.select_taxa(_report(spark, sf_dir), taxa=[_domain(spark, sf_dir), None], taxids=[None, first.agg(F.min("taxid")).first()[0]])
+
+
+def _report_ranks(report: DataFrame) -> list[str]:
+    """Rank codes of a report's rows; a few dozen."""
+    return sorted(r["rank"] for r in report.filter(F.col("rank").rlike("^[RDKPCOFGS][0-9]*$")).select("rank").distinct().collect())
+
+
 def rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.rank_columns(_report(spark, sf_dir), RANKS[:8], ["report_id", "row_id", "taxid"])
+    return taxonomy.rank_columns(_report(spark, sf_dir), _report_ranks(table(spark, sf_dir, "kreport")), ["report_id", "row_id", "taxid"])
 
 
 def rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +143,31 @@ def koutreads_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("id", "taxid", F.col("tags")["BARCODE"].alias("barcode"), F.col("tags")["UMI"].alias("umi"), "lca", "seq", "qual")
 
 
+def refined_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of both mates in both descriptions, equal labels put together; each mate trimmed by its own ranges."""
+    _, pairs = _classified_pairs(spark, sf_dir)
+    pairs = pairs.withColumn("desc2", F.lit("m2"))
+    out = refine.refine_pair(pairs, barcode1=R.seq_range(1, 16), umi1=R.seq_range(17, 28), umi2=R.embed("UMI", R.seq_range(end=3)), extra2=R.seq_range(2, 5), prefix="T")
+    return out.select("id", "desc1", "seq1", "qual1", "desc2", "seq2", "qual2")
+
+
+def koutreads_pair_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of pairs: those of mate 2's description hold over mate 1's, and those of the ranges over both."""
+    rows, pairs = _classified_pairs(spark, sf_dir)
+    pairs = refine.refine_pair(pairs, barcode1=R.seq_range(1, 16), umi1=R.seq_range(17, 28))
+    own = F.concat(F.lit(refine.TAG_PREFIX + "{UMI:"), F.reverse(F.substring("seq2", 1, 4)), F.lit(":X:"), F.substring("seq2", 1, 2), F.lit("}"))
+    joined = koutreads.join_pairs(rows, pairs.withColumn("desc2", own), {"BOTH": R.seq_range(1, 2)}, [R.tag("BOTH", R.seq_range(3, 5)), R.tag("X", R.seq_range(end=3))])
+    return joined.select("id", *[F.col("tags")[t].alias(t.lower()) for t in ("BARCODE", "UMI", "X", "BOTH")])
+
+
+def koutreads_join_lone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose classification is of mate 2 alone: only that mate is given."""
+    rows, reads = _classified_reads(spark, sf_dir)
+    mate1 = [F.lit("d").alias("desc1"), F.lit("ACGT").alias("seq1"), F.lit("IIII").alias("qual1")]
+    pairs = reads.select("id", *mate1, *[F.col(c).alias(f"{c}2") for c in ("desc", "seq", "qual")])
+    return koutreads.join_pairs(rows, pairs).select("id", "taxid", "lca", "seq", "qual")
+
+
 def reads_extract_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose id is among the classified ones of one domain."""
     _, pairs = _classified_pairs(spark, sf_dir)
@@ -218,8 +254,9 @@ def krcount_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def taxa_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts with a column for every rank that occurs."""
     rows = table(spark, sf_dir, "umi")
-    return denoise.taxa_counts(rows, RANKS, "sample_id")
+    return denoise.taxa_counts(rows, denoise.observed_ranks(rows), "sample_id")
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,69 +299,113 @@ def quantile_unmatched_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quantile_test(spark, sf_dir, _domains(spark, sf_dir)).unmatched
 
 
+def quantile_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test of all domains against the 0.95 quantile, to each side."""
+    out = None
+    for side in ("less", "greater", "two.sided"):
+        lines = table(spark, sf_dir, "cell_lines").filter(~F.isnan("rpmm"))
+        p = denoise.quantile_test(_samples(spark, sf_dir), lines, taxa=_domains(spark, sf_dir), alternative=side).pvalues
+        p = p.select(F.lit(side).alias("alternative"), "taxid", "taxon", "reference", F.round("pvalue", 9).alias("pvalue"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def quantile_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for a density plot of the taxa that are truly present at alpha 0.5, by the median of the cell lines."""
+    lines = table(spark, sf_dir, "cell_lines").filter(~F.isnan("rpmm"))
+    test = denoise.quantile_test(_samples(spark, sf_dir), lines, taxa=_domains(spark, sf_dir), quantile=0.5, alpha=0.5, drop_unmatched=False)
+    rows = test.density_frame().withColumns({"rpmm": F.round("rpmm", 6), "log10_rpmm": F.round("log10_rpmm", 6) + 0.0, "pvalue": F.round("pvalue", 9)})
+    return rows.groupBy("taxid", "taxon", "study", "rpmm", "log10_rpmm", "pvalue").agg(F.sum("weight").alias("weight"))
+
+
+#: Methods of adjustment, with the names of their columns.
+ADJUSTMENTS = {"holm": "holm", "hochberg": "hochberg", "hommel": "hommel", "bonferroni": "bonferroni", "BH": "bh", "BY": "by", "fdr": "fdr", "none": "raw"}
+
+
 def _adjusted(test: denoise.QuantileTest) -> DataFrame:
     out = test.pvalues.select("taxid", "taxon", "pvalue")
-    for method in ("holm", "hochberg", "bonferroni", "BH", "BY"):
-        out = stats.adjust_p(out, "pvalue", method, name=method.lower())
-    return out.select("taxid", "taxon", *[F.round(m, 9).alias(m) for m in ("pvalue", "holm", "hochberg", "bonferroni", "bh", "by")])
+    for method, name in ADJUSTMENTS.items():
+        out = stats.adjust_p(out, "pvalue", method, name=name)
+    return out.select("taxid", "taxon", *[F.round(m, 9).alias(m) for m in ("pvalue", *ADJUSTMENTS.values())])
 
 
 def adjusted_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p-values of the quantile test, adjusted in five ways."""
+    """p-values of the quantile test, adjusted in all ways."""
     return _adjusted(_quantile_test(spark, sf_dir, _microbes(spark, sf_dir)))
 
 
 def adjusted_p_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p-values of the quantile test over the taxa of every domain, adjusted in five ways."""
+    """p-values of the quantile test over the taxa of every domain, adjusted in all ways."""
     return _adjusted(_quantile_test(spark, sf_dir, _domains(spark, sf_dir)))
 
 
-def sample_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spearman's rho of the sample-level test."""
-    found = denoise.sample_level(_samples(spark, sf_dir))
-    return found.select("taxid", "taxon", *[(F.round(r, 9) + 0.0).alias(r) for r in ("r1", "r2", "r3")])
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) + 0.0 for c in columns})
+
+
+_SIX = ("r1", "r2", "r3", "p1", "p2", "p3")
 
 
 def sample_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return denoise.sample_level(_samples(spark, sf_dir))
+    """The sample-level test, by Spearman's rho."""
+    return _rounded(denoise.sample_level(_samples(spark, sf_dir)), *_SIX)
+
+
+def sample_level_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(denoise.sample_level(_samples(spark, sf_dir), "pearson"), *_SIX)
 
 
-def barcode_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pearson's r of the barcode-level test, by sample."""
-    rows = table(spark, sf_dir, "kmer").withColumnRenamed("taxa", "taxon")
-    found = denoise.barcode_level(rows, method="pearson", sample="sample_id")
-    return found.select("sample_id", "taxid", "taxon", (F.round("cor", 9) + 0.0).alias("cor"))
+def sample_level_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(denoise.sample_level(_samples(spark, sf_dir), "kendall"), *_SIX)
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "kmer").withColumnRenamed("taxa", "taxon")
 
 
 def barcode_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return denoise.barcode_level(table(spark, sf_dir, "kmer").withColumnRenamed("taxa", "taxon"), sample="sample_id")
+    """The barcode-level test of each sample, by Spearman's rho, p adjusted over the sample's taxa."""
+    return _rounded(denoise.barcode_level(_cells(spark, sf_dir), sample="sample_id"), "cor", "pvalue", "padj")
+
 
+def barcode_level_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(denoise.barcode_level(_cells(spark, sf_dir), "pearson", p_adjust="BY", sample="sample_id"), "cor", "pvalue", "padj")
 
-def _denoised(spark: SparkSession, sf_dir: str, taxa: list[str], **limits: object) -> denoise.Denoised:
+
+def barcode_level_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(denoise.barcode_level(_cells(spark, sf_dir), "kendall", sample="sample_id"), "cor", "pvalue", "padj")
+
+
+def _denoised(spark: SparkSession, sf_dir: str, **limits: object) -> DataFrame:
     reports = _report(spark, sf_dir).withColumnRenamed("sample_id", "sample")
     kmers = table(spark, sf_dir, "kmer").withColumnsRenamed({"taxa": "taxon", "sample_id": "sample"})
     umis = table(spark, sf_dir, "umi").withColumnRenamed("sample_id", "sample")
     lines = table(spark, sf_dir, "cell_lines").filter(~F.isnan("rpmm"))
-    return denoise.denoise_counts(reports, kmers, umis, lines, RANKS, taxa=taxa, **limits)
+    return denoise.denoise_counts(reports, kmers, umis, lines, denoise.observed_ranks(umis), taxa=_domains(spark, sf_dir), **limits).counts
 
 
 def denoise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline's joins in one domain, all limits of significance open: only the correlations' signs and null p remove taxa."""
-    return _denoised(spark, sf_dir, _microbes(spark, sf_dir), drop_unmatched=False, alpha=1.1, p_threshold=1.1, padj_threshold=1.1).counts
+    """The whole pipeline over all samples and domains, with the operator's own limits."""
+    return _denoised(spark, sf_dir)
 
 
-def denoise_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline over all samples and domains, with the operator's own limits."""
-    return _denoised(spark, sf_dir, _domains(spark, sf_dir)).counts
+#: Wider limits of significance, for tables with few samples and cells of a taxon.
+LENIENT = {"drop_unmatched": False, "quantile": 0.5, "alpha": 0.5, "p_threshold": 0.5, "padj_threshold": 0.5}
+
+
+def denoise_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with wider limits, and with taxa that no cell line has."""
+    return _denoised(spark, sf_dir, **LENIENT)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        report_lineage, taxonomy_filter, select_descendants, select_own, rank_table, rank_order, koutput_taxids, koutput_filter, koutput_filter_exact,
-        koutreads_join, reads_extract, koutreads_join_pairs, reads_extract_pairs, refined_reads, refined_tags, read_filters, read_kmers, krcount_umi, krcount_bulk, krcount_ranks, krcount_pairs, krcount_matrix, taxa_counts, rpmm,
-        quantile_test, quantile_unmatched, adjusted_p, sample_correlation, sample_level, barcode_correlation, barcode_level, denoise_counts, denoise_significant,
-        rpmm_domains, quantile_test_domains, quantile_unmatched_domains, adjusted_p_domains,
+        report_lineage, taxonomy_filter, select_descendants, select_own, select_named, rank_table, rank_order, koutput_taxids, koutput_filter, koutput_filter_exact,
+        koutreads_join, reads_extract, koutreads_join_pairs, koutreads_pair_tags, koutreads_join_lone, reads_extract_pairs, refined_reads, refined_pairs, refined_tags,
+        read_filters, read_kmers, krcount_umi, krcount_bulk, krcount_ranks, krcount_pairs, krcount_matrix, taxa_counts,
+        rpmm, rpmm_domains, quantile_test, quantile_test_domains, quantile_unmatched, quantile_unmatched_domains, quantile_sides, quantile_density, adjusted_p, adjusted_p_domains,
+        sample_level, sample_level_pearson, sample_level_kendall, barcode_level, barcode_level_pearson, barcode_level_kendall, denoise_counts, denoise_lenient,
     )
 }
 
@@ -386,38 +467,89 @@ _RPMM = """totals AS (
 ), own AS (
   SELECT i.report_id, taxid, taxon, total_reads / t::DOUBLE * 1e6 AS rpmm FROM inside i LEFT JOIN totals USING (report_id)
 )"""
-_TEST = f"""{_RPMM}, weights AS (
+_REFERENCE = """weights AS (
   SELECT taxid, count(*) AS w FROM own GROUP BY taxid
 ), spread AS (
   SELECT taxid, rpmm, count(*) * any_value(w) AS c FROM cell_lines JOIN weights USING (taxid) WHERE rpmm IS NOT NULL AND NOT isnan(rpmm) GROUP BY taxid, rpmm
 ), placed AS (
   SELECT *, sum(c) OVER (PARTITION BY taxid ORDER BY rpmm ROWS UNBOUNDED PRECEDING) AS u, sum(c) OVER (PARTITION BY taxid) AS n FROM spread
 ), ref AS (
-  SELECT taxid, min(rpmm) AS reference FROM placed WHERE u > round(0.5 * (n - 1)) GROUP BY taxid
+  SELECT taxid, min(rpmm) AS reference FROM placed WHERE u > round({quantile} * (n - 1)) GROUP BY taxid
 ), tests AS (
-  SELECT taxid, taxon, reference, count(*) FILTER (rpmm <= reference) AS upto, count(rpmm) AS n FROM own LEFT JOIN ref USING (taxid) GROUP BY ALL
+  SELECT taxid, taxon, reference, count(*) FILTER (rpmm < reference) AS below, count(*) FILTER (rpmm <= reference) AS upto, count(rpmm) AS n FROM own LEFT JOIN ref USING (taxid) GROUP BY ALL
+), sides AS (
+  SELECT taxid, taxon, reference, CASE WHEN reference IS NOT NULL THEN coalesce(list_sum(list_transform(range(0, upto + 1), lambda i: chance(i))), 0) END AS greater,
+    CASE WHEN reference IS NOT NULL THEN coalesce(list_sum(list_transform(range(below, n + 1), lambda i: chance(i))), 0) END AS less FROM tests
 ), pvalues AS (
-  SELECT taxid, taxon, reference, CASE WHEN reference IS NOT NULL THEN
-    list_sum(list_transform(range(0, upto + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) END AS pvalue FROM tests
+  SELECT taxid, taxon, reference, greater AS pvalue FROM sides
+)""".replace("chance(i)", "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))")
+_TEST = f"{_RPMM}, {_REFERENCE.format(quantile=0.5)}"
+
+_ENOUGH = """enough AS (
+  SELECT * FROM (SELECT taxid, taxon, total_reads, minimizer_len, minimizer_n_unique, count(*) OVER (PARTITION BY taxid, taxon) AS c FROM report WHERE total_reads >= 3 AND minimizer_n_unique >= 3) WHERE c >= 3
+)"""
+_VARIED = """varied AS (
+  SELECT * FROM (SELECT sample_id, taxid, taxa AS taxon, kmer_len, kmer_n_unique, count(*) OVER (PARTITION BY sample_id, taxid, taxa) AS c FROM kmer WHERE kmer_len >= 3) WHERE c >= 3
+)"""
+_PAIRS_OF_SAMPLES = (("minimizer_len", "minimizer_n_unique"), ("minimizer_len", "total_reads"), ("total_reads", "minimizer_n_unique"))
+
+
+def _sample_tests(method: Callable[..., str]) -> str:
+    """CTEs up to ``samples``: the sample-level test."""
+    each = ", ".join(method(f"c{i}", "enough", "taxid, taxon", x, y) for i, (x, y) in enumerate(_PAIRS_OF_SAMPLES, 1))
+    joins = " ".join(f"LEFT JOIN c{i} ON c{i}.taxid IS NOT DISTINCT FROM g.taxid AND c{i}.taxon IS NOT DISTINCT FROM g.taxon" for i in (1, 2, 3))
+    shown = ", ".join(f"c{i}.{c} AS {c}{i}" for c in "rp" for i in (1, 2, 3))
+    return f"{_ENOUGH}, {each}, samples AS (SELECT g.taxid, g.taxon, {shown} FROM (SELECT DISTINCT taxid, taxon FROM enough) g {joins})"
+
+
+def _cell_tests(method: Callable[..., str], adjustment: str = "BH") -> str:
+    """CTEs up to ``barcodes``: the barcode-level test of each sample."""
+    keys = ("sample_id", "taxid", "taxon")
+    same = " AND ".join(f"c.{k} IS NOT DISTINCT FROM g.{k}" for k in keys)
+    return f"""{_VARIED}, {method("c", "varied", ", ".join(keys), "kmer_len", "kmer_n_unique")}, cors AS (
+  SELECT g.*, c.r AS cor, c.p AS pvalue FROM (SELECT DISTINCT sample_id, taxid, taxon FROM varied) g LEFT JOIN c ON {same}
+), numbered AS (
+  SELECT *, count(pvalue) OVER (PARTITION BY sample_id) AS n, row_number() OVER (PARTITION BY sample_id, pvalue IS NULL ORDER BY pvalue) AS i FROM cors
+), barcodes AS (
+  SELECT sample_id, taxid, taxon, cor, pvalue, {tests_sql.adjusted("pvalue", "sample_id", adjustment)} AS padj FROM numbered WHERE pvalue IS NOT NULL
+  UNION ALL SELECT sample_id, taxid, taxon, cor, NULL, NULL FROM numbered WHERE pvalue IS NULL
 )"""
 
 
-def _rho(x: str, y: str, rows: str) -> str:
-    return f"""(SELECT taxid, taxon, CASE WHEN isnan(corr(a, b)) THEN NULL ELSE round(corr(a, b), 9) + 0.0 END AS r FROM (SELECT taxid, taxon,
-    rank() OVER (PARTITION BY taxid, taxon ORDER BY {x}) + (count(*) OVER (PARTITION BY taxid, taxon, {x}) - 1) / 2 AS a,
-    rank() OVER (PARTITION BY taxid, taxon ORDER BY {y}) + (count(*) OVER (PARTITION BY taxid, taxon, {y}) - 1) / 2 AS b FROM {rows}) GROUP BY ALL)"""
+def _nine(*columns: str) -> str:
+    return ", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in columns)
 
 
-_ENOUGH = """enough AS (
-  SELECT * FROM (SELECT taxid, taxon, total_reads, minimizer_len, minimizer_n_unique, count(*) OVER (PARTITION BY taxid, taxon) AS c FROM report WHERE total_reads >= 3 AND minimizer_n_unique >= 3) WHERE c >= 3
+# every rank code that the tables have, spelled out
+_COUNTS = """SELECT {sample}, barcode, taxid, taxa, rank, taxon[nullif(list_position(ranks, 'D'), 0)] AS "domain", taxon[nullif(list_position(ranks, 'K'), 0)] AS kingdom,
+  taxon[nullif(list_position(ranks, 'P'), 0)] AS phylum, taxon[nullif(list_position(ranks, 'P1'), 0)] AS phylum1, taxon[nullif(list_position(ranks, 'C'), 0)] AS "class",
+  taxon[nullif(list_position(ranks, 'C1'), 0)] AS class1, taxon[nullif(list_position(ranks, 'O'), 0)] AS "order", taxon[nullif(list_position(ranks, 'O1'), 0)] AS order1,
+  taxon[nullif(list_position(ranks, 'F'), 0)] AS family, taxon[nullif(list_position(ranks, 'F1'), 0)] AS family1, taxon[nullif(list_position(ranks, 'G'), 0)] AS genus,
+  taxon[nullif(list_position(ranks, 'G1'), 0)] AS genus1, taxon[nullif(list_position(ranks, 'S'), 0)] AS species, taxon[nullif(list_position(ranks, 'S1'), 0)] AS species1,
+  taxon[nullif(list_position(ranks, 'S2'), 0)] AS species2, counts
+FROM (SELECT sample_id, barcode, taxid, taxa, rank, taxon, ranks, count(DISTINCT umi) + max((umi IS NULL)::INTEGER) AS counts FROM umi {where} GROUP BY ALL)"""
+
+
+def _denoise_sql(quantile: float, alpha: float, p: float, padj: float, unmatched: bool) -> str:
+    missing = " OR reference IS NULL" if unmatched else ""
+    good = " AND ".join(f"r{i} > 0 AND p{i} < {p}" for i in (1, 2, 3))
+    real = f"""real_taxa AS (
+  SELECT DISTINCT sample_id, taxid FROM barcodes WHERE padj < {padj} AND taxid IN (SELECT taxid FROM samples WHERE {good}) AND taxid IN (SELECT taxid FROM pvalues WHERE pvalue < {alpha}{missing})
 )"""
-_RHOS = f"""{_rho("minimizer_len", "minimizer_n_unique", "enough")} a
-JOIN {_rho("minimizer_len", "total_reads", "enough")} b USING (taxid, taxon) JOIN {_rho("total_reads", "minimizer_n_unique", "enough")} c USING (taxid, taxon)"""
-_COUNTS = (
-    "SELECT {sample}, barcode, taxid, taxa, rank, "
-    + ", ".join(f"taxon[nullif(list_position(ranks, '{r}'), 0)] AS \"{ranks_of.NAMES[r[0]] + r[1:]}\"" for r in RANKS)
-    + ", counts FROM (SELECT sample_id, barcode, taxid, taxa, rank, taxon, ranks, count(DISTINCT umi) + max((umi IS NULL)::INTEGER) AS counts FROM umi {where} GROUP BY ALL)"
-)
+    where = "WHERE (sample_id, taxid) IN (SELECT sample_id, taxid FROM real_taxa)"
+    return f"""{_TREE_DOMAINS}, {tests_sql.NULLS}, {_RPMM_DOMAINS}, {_REFERENCE.format(quantile=quantile)}, {_sample_tests(tests_sql.spearman)}, {_cell_tests(tests_sql.spearman)}, {real}
+""" + _COUNTS.format(sample="sample_id AS sample", where=where)
+
+
+_HOMMEL = """levels AS (
+  SELECT m, min(m * q.pvalue / (q.i - n + m)) AS inside, min(m * q.pvalue / (q.i - n + m)) FILTER (q.i - n + m > 1) AS outside
+  FROM placed_p q, (SELECT unnest(range(1, max(n) + 1)) AS m FROM placed_p) WHERE q.pvalue IS NOT NULL AND q.i > n - m GROUP BY m
+), hommels AS (
+  SELECT i, least(1, max(CASE WHEN i > n - m THEN inside ELSE least(m * pvalue, coalesce(outside, m * pvalue)) END)) AS hommel FROM placed_p, levels WHERE pvalue IS NOT NULL GROUP BY i
+)"""
+#: The tests over the rows of every domain.
+_TREE_DOMAINS = _TREE.replace("SELECT * FROM report, first_domain WHERE len(list_filter(lineage, lambda x: x.rank = 'D' AND x.taxon = d)) > 0", "SELECT * FROM report WHERE len(list_filter(lineage, lambda x: x.rank = 'D')) > 0")
+_RPMM_DOMAINS = _RPMM.replace("FROM report, first_domain WHERE rank = 'D' AND taxon = d", "FROM report WHERE rank = 'D'")
 
 SQL: dict[str, str] = {
     "report_lineage": _TREE
@@ -429,7 +561,14 @@ SQL: dict[str, str] = {
 )
 SELECT DISTINCT taxid FROM each WHERE above IN (SELECT taxid FROM inside WHERE rank = 'F')""",
     "select_own": "SELECT DISTINCT taxid FROM kreport WHERE rank IN ('G', 'S')",
-    "rank_table": _TREE + "\nSELECT report_id, row_id, taxid, " + ", ".join(f"list_filter(lineage, lambda x: x.rank = '{r}')[1].taxon AS \"{r}\"" for r in RANKS[:8]) + " FROM report",
+    "select_named": _TREE
+    + """
+SELECT DISTINCT taxid FROM (SELECT taxid, unnest(list_transform(lineage, lambda x: x.taxid)) AS above FROM report)
+WHERE above IN (SELECT min(k.taxid) FROM kreport k, first_domain WHERE k.rank = 'D' AND trim(k.name) = d)""",
+    "rank_table": _TREE
+    + "\nSELECT report_id, row_id, taxid, "
+    + ", ".join(f"list_filter(lineage, lambda x: x.rank = '{r}')[1].taxon AS \"{r}\"" for r in ("D", "K", "P", "P1", "C", "C1", "O", "O1", "F", "F1", "G", "G1", "S", "S1", "S2"))
+    + " FROM report",
     "rank_order": """
 SELECT rank, row_number() OVER (ORDER BY position(rank[1] IN 'URDKPCOFGS'), coalesce(try_cast(nullif(rank[2:], '') AS INTEGER), 0), rank)::INTEGER AS place,
   CASE rank[1] WHEN 'R' THEN 'root' WHEN 'D' THEN 'domain' WHEN 'K' THEN 'kingdom' WHEN 'P' THEN 'phylum' WHEN 'C' THEN 'class' WHEN 'O' THEN 'order'
@@ -446,6 +585,12 @@ WHERE NOT coalesce(regexp_matches(lca, '(^|[^0-9A-Za-z])(2831896|322656):'), fal
     "reads_extract": f"{_TREE}, {_READS}\nSELECT id, seq FROM reads WHERE id IN (SELECT id FROM named WHERE taxid IN (SELECT taxid FROM inside))",
     "koutreads_join_pairs": f"""WITH {_PAIRS}
 SELECT id, taxid, tags[1:16] AS barcode, tags[17:28] AS umi, lca, mate1 || ' ' || mate2 AS seq, repeat('I', length(mate1)) || ' ' || repeat('J', length(mate2)) AS qual FROM pairs""",
+    "refined_pairs": f"""WITH {_PAIRS}
+SELECT id, 'T{{UMI:' || tags[17:28] || mate2[1:3] || ':BARCODE:' || tags[1:16] || '}}' AS desc1, mate1 AS seq1, repeat('I', length(mate1)) AS qual1,
+  'm2 T{{UMI:' || tags[17:28] || mate2[1:3] || ':BARCODE:' || tags[1:16] || '}}' AS desc2, mate2[1:1] || mate2[6:] AS seq2, repeat('J', length(mate2) - 4) AS qual2 FROM pairs""",
+    "koutreads_pair_tags": f"""WITH {_PAIRS}
+SELECT id, tags[1:16] AS barcode, reverse(mate2[1:4]) AS umi, mate2[1:3] AS x, mate1[1:2] || mate2[3:5] AS "both" FROM pairs""",
+    "koutreads_join_lone": f"WITH {_READS}\nSELECT id, taxid, lca, seq, qual FROM reads",
     "reads_extract_pairs": f"{_TREE}, {_PAIRS}\nSELECT id, tags || mate1 AS seq1, mate2 AS seq2 FROM pairs WHERE id IN (SELECT id FROM named WHERE taxid IN (SELECT taxid FROM inside))",
     "refined_reads": f"WITH {_CELLS}\nSELECT umi_id, 'x T{{UMI:' || seq[17:22] || ':BARCODE:' || seq[1:16] || '}}' AS \"desc\", seq[25:] AS seq, repeat('I', length(seq) - 24) AS qual FROM cells",
     "refined_tags": f"WITH {_CELLS}\nSELECT umi_id, seq[17:22] AS umi, seq[1:16] AS barcode FROM cells",
@@ -459,34 +604,39 @@ SELECT id, taxid, tags[1:16] AS barcode, tags[17:28] AS umi, lca, mate1 || ' ' |
     + ", ".join(f"max(reads) FILTER (barcode = '{b}') AS \"{b}\"" for b in CELLS)
     + " FROM counted GROUP BY taxid",
     "taxa_counts": _COUNTS.format(sample="sample_id", where=""),
-    "denoise_counts": f"""{_TREE}, {_RPMM}, {_ENOUGH}, varied AS (
-  SELECT sample_id, taxid FROM (SELECT *, count(*) OVER (PARTITION BY sample_id, taxid, taxa) AS c FROM kmer WHERE kmer_len >= 3)
-  WHERE c >= 3 AND kmer_n_unique IS NOT NULL GROUP BY sample_id, taxid, taxa HAVING count(DISTINCT kmer_len) > 1 AND count(DISTINCT kmer_n_unique) > 1
-    AND (count(*) > 2 OR (count(DISTINCT kmer_len) = 2 AND count(DISTINCT kmer_n_unique) = 2))
-), alike AS (
-  SELECT taxid FROM {_RHOS} WHERE a.r > 0 AND b.r > 0 AND c.r > 0
-)
-"""
-    + _COUNTS.format(sample="sample_id AS sample", where="WHERE (sample_id, taxid) IN (SELECT sample_id, taxid FROM varied) AND taxid IN (SELECT taxid FROM alike) AND taxid IN (SELECT taxid FROM own)"),
+    "denoise_counts": _denoise_sql(0.95, 0.05, 0.05, 0.05, False),
+    "denoise_lenient": _denoise_sql(0.5, 0.5, 0.5, 0.5, True),
     "rpmm": f"{_TREE}, {_RPMM}\nSELECT report_id::VARCHAR AS sample, taxid, taxon, round(rpmm, 6) AS rpmm FROM own",
     "quantile_test": f"{_TREE}, {_TEST}\nSELECT taxid, taxon, reference, round(pvalue, 9) AS pvalue FROM pvalues",
     "quantile_unmatched": f"{_TREE}, {_TEST}\nSELECT DISTINCT taxid FROM pvalues WHERE reference IS NULL",
+    "quantile_sides": f"""{_TREE_DOMAINS}, {_RPMM_DOMAINS}, {_REFERENCE.format(quantile=0.95)}
+SELECT 'less' AS alternative, taxid, taxon, reference, round(less, 9) AS pvalue FROM sides
+UNION ALL SELECT 'greater', taxid, taxon, reference, round(greater, 9) FROM sides UNION ALL SELECT 'two.sided', taxid, taxon, reference, round(2 * least(less, greater), 9) FROM sides""",
+    "quantile_density": f"""{_TREE_DOMAINS}, {_RPMM_DOMAINS}, {_REFERENCE.format(quantile=0.5)}, shown AS (
+  SELECT taxid, min(pvalue) AS pvalue FROM pvalues GROUP BY taxid HAVING min(pvalue) < 0.5 AND count(*) FILTER (reference IS NULL) = 0
+), points AS (
+  SELECT taxid, taxon, 'current study' AS study, rpmm FROM own UNION ALL SELECT o.taxid, o.taxon, 'cell lines', c.rpmm FROM own o JOIN cell_lines c USING (taxid) WHERE c.rpmm IS NOT NULL AND NOT isnan(c.rpmm)
+)
+SELECT taxid, taxon, study, round(rpmm, 6) AS rpmm, CASE WHEN rpmm > 0 THEN round(log10(rpmm), 6) + 0.0 END AS log10_rpmm, round(pvalue, 9) AS pvalue, count(*) AS weight
+FROM points JOIN shown USING (taxid) GROUP BY ALL""",
     "adjusted_p": f"""{_TREE}, {_TEST}, placed_p AS (
   SELECT *, count(pvalue) OVER () AS n, CASE WHEN pvalue IS NOT NULL THEN row_number() OVER (PARTITION BY pvalue IS NULL ORDER BY pvalue, taxid, taxon) END AS i FROM pvalues
-), adjusted AS (
-  SELECT taxid, taxon, pvalue, least(1, max((n - i + 1) * pvalue) OVER up) AS holm, least(1, min((n - i + 1) * pvalue) OVER down) AS hochberg, least(1, n * pvalue) AS bonferroni,
-    least(1, min(pvalue * n / i) OVER down) AS bh, least(1, min(pvalue * n / i * list_sum(list_transform(range(1, n + 1), lambda k: 1 / k))) OVER down) AS "by"
-  FROM placed_p WHERE pvalue IS NOT NULL WINDOW up AS (ORDER BY i ROWS UNBOUNDED PRECEDING), down AS (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)
+), {_HOMMEL}, adjusted AS (
+  SELECT p.*, hommel, least(1, max((n - i + 1) * pvalue) OVER up) AS holm, least(1, min((n - i + 1) * pvalue) OVER down) AS hochberg, least(1, n * pvalue) AS bonferroni,
+    {tests_sql.adjusted("pvalue", "", "BH")} AS bh, {tests_sql.adjusted("pvalue", "", "BY")} AS "by"
+  FROM placed_p p JOIN hommels USING (i) WHERE pvalue IS NOT NULL WINDOW up AS (ORDER BY i ROWS UNBOUNDED PRECEDING), down AS (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)
 )
-SELECT taxid, taxon, round(pvalue, 9) AS pvalue, round(holm, 9) AS holm, round(hochberg, 9) AS hochberg, round(bonferroni, 9) AS bonferroni, round(bh, 9) AS bh, round("by", 9) AS "by" FROM adjusted
-UNION ALL SELECT taxid, taxon, NULL, NULL, NULL, NULL, NULL, NULL FROM pvalues WHERE pvalue IS NULL""",
-    "sample_correlation": f"{_TREE}, {_ENOUGH}\nSELECT taxid, taxon, a.r AS r1, b.r AS r2, c.r AS r3 FROM {_RHOS}",
-    "barcode_correlation": """
-SELECT sample_id, taxid, taxa AS taxon, CASE WHEN count(kmer_n_unique) < 2 OR isnan(corr(kmer_len, kmer_n_unique)) THEN NULL ELSE round(corr(kmer_len, kmer_n_unique), 9) + 0.0 END AS cor
-FROM (SELECT *, count(*) OVER (PARTITION BY sample_id, taxid, taxa) AS c FROM kmer WHERE kmer_len >= 3) WHERE c >= 3 GROUP BY ALL""",
+SELECT taxid, taxon, round(pvalue, 9) AS pvalue, round(holm, 9) AS holm, round(hochberg, 9) AS hochberg, round(hommel, 9) AS hommel, round(bonferroni, 9) AS bonferroni, round(bh, 9) AS bh,
+  round("by", 9) AS "by", round(bh, 9) AS fdr, round(pvalue, 9) AS raw FROM adjusted
+UNION ALL SELECT taxid, taxon, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM pvalues WHERE pvalue IS NULL""",
+    **{
+        f"sample_level{suffix}": f"{_TREE}, {tests_sql.NULLS}, {_sample_tests(method)}\nSELECT taxid, taxon, {_nine(*_SIX)} FROM samples"
+        for suffix, method in (("", tests_sql.spearman), ("_pearson", tests_sql.pearson), ("_kendall", tests_sql.kendall))
+    },
+    **{
+        f"barcode_level{suffix}": f"WITH RECURSIVE {tests_sql.NULLS}, {_cell_tests(method, adjustment)}\nSELECT sample_id, taxid, taxon, {_nine('cor', 'pvalue', 'padj')} FROM barcodes"
+        for suffix, method, adjustment in (("", tests_sql.spearman, "BH"), ("_pearson", tests_sql.pearson, "BY"), ("_kendall", tests_sql.kendall, "BH"))
+    },
 }
 
-#: The same tests over the rows of every domain.
-_TREE_DOMAINS = _TREE.replace("SELECT * FROM report, first_domain WHERE len(list_filter(lineage, lambda x: x.rank = 'D' AND x.taxon = d)) > 0", "SELECT * FROM report WHERE len(list_filter(lineage, lambda x: x.rank = 'D')) > 0")
-_RPMM_DOMAINS = _RPMM.replace("FROM report, first_domain WHERE rank = 'D' AND taxon = d", "FROM report WHERE rank = 'D'")
 SQL |= {f"{name}_domains": SQL[name].replace(_TREE, _TREE_DOMAINS).replace(_RPMM, _RPMM_DOMAINS) for name in ("rpmm", "quantile_test", "quantile_unmatched", "adjusted_p")}

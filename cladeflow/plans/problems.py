@@ -106,7 +106,7 @@ WITH lines AS (
   UNION ALL SELECT line_id, n, {six} FROM counted WHERE n = 6
   UNION ALL SELECT line_id, n, {", ".join(["NULL"] * 8)} FROM counted WHERE n = 0
 ), checked AS (
-  SELECT line_id, try_cast({number("f1")} AS DOUBLE) AS percents, {big("f2")} AS total_reads, {big("f3")} AS reads, {big("f4")} AS minimizer_len,
+  SELECT line_id, n, {", ".join(f"f{i}" for i in range(1, 9))}, try_cast({number("f1")} AS DOUBLE) AS percents, {big("f2")} AS total_reads, {big("f3")} AS reads, {big("f4")} AS minimizer_len,
     {big("f5")} AS minimizer_n_unique, f6 AS rank, f7 AS taxid, f8 AS name,
     coalesce(n > 0 AND regexp_full_match({number("f1")}, '{_NUMBER}') AND try_cast({number("f1")} AS DOUBLE) BETWEEN 0 AND 100
       AND {count("f2")} AND {count("f3")} AND (n = 6 OR ({count("f4")} AND {count("f5")})) AND {big("f3")} <= {big("f2")}
@@ -120,6 +120,33 @@ def _pick(n: int, i: int) -> str:
     return f"CASE WHEN starts_with(ltrim({f}, ' '), '\"') THEN replace(substr(trim({f}, ' '), 2, length(trim({f}, ' ')) - 2), '\"\"', '\"') ELSE {f} END"
 
 
+def _reasons_sql() -> str:
+    """The first fault of every failing line: of its columns from the left, then of its fields."""
+    number = lambda c: f"trim({c}, E' \\t\\n\\r\\x0b\\x0c')"
+    rest = f"regexp_replace(l, '(?s)\\A({_FIELD}\\t)*', '')"  # from the first column on that isn't sound
+    sound = f"regexp_matches(l, '(?s)\\A({_FIELD}\\t)*{_FIELD}\\z')"
+    faults = [
+        f"WHEN n = 0 AND NOT {sound} AND regexp_matches({rest}, '(?s)\\A *\"([^\"]|\"\")*\"') THEN 'text_after_quote'",
+        f"WHEN n = 0 AND NOT {sound} THEN 'quote_not_closed'",
+        "WHEN n = 0 THEN 'column_count'",
+        f"WHEN NOT regexp_full_match({number('f1')}, '{_NUMBER}') THEN 'percents_not_a_number'",
+        f"WHEN NOT coalesce(try_cast({number('f1')} AS DOUBLE) BETWEEN 0 AND 100, false) THEN 'percents_out_of_range'",
+    ]
+    for i, name in ((2, "total_reads"), (3, "reads"), (4, "minimizer_len"), (5, "minimizer_n_unique")):
+        when = "n = 8 AND " if i > 3 else ""
+        faults.append(f"WHEN {when}NOT regexp_full_match({number(f'f{i}')}, '\\+?[0-9]+') THEN '{name}_not_a_count'")
+        faults.append(f"WHEN {when}try_cast(ltrim({number(f'f{i}')}, '+') AS BIGINT) IS NULL THEN '{name}_too_large'")
+    faults += [
+        "WHEN NOT regexp_full_match(f6, '[URDKPCOFGS][0-9]*') THEN 'rank_unknown'",
+        "WHEN NOT regexp_full_match(f7, '[0-9]+') THEN 'taxid_not_digits'",
+        "WHEN NOT regexp_matches(f8, '\\S') THEN 'name_blank'",
+        "ELSE 'reads_above_total_reads'",
+    ]
+    return f"""{_report_sql()}
+SELECT sample_id, CASE {" ".join(faults)} END AS reason, count(*) AS n_lines
+FROM checked JOIN lines USING (line_id) JOIN kreport_raw USING (line_id) WHERE NOT ok GROUP BY ALL"""
+
+
 _NAMES = "|".join(wide.RANK_NAMES.values())
 _CELLS = f"""
 WITH typed AS (
@@ -164,7 +191,8 @@ SELECT source_table, row_id, pos::INTEGER AS pos, CASE WHEN v[1] = '"' THEN repl
 
 SQL: dict[str, str] = {
     "p1_found": _report_sql() + "\nSELECT line_id FROM checked WHERE NOT ok",
-    "p1_valid": _report_sql() + "\nSELECT * EXCLUDE (ok) FROM checked WHERE ok",
+    "p1_valid": _report_sql() + "\nSELECT * EXCLUDE (ok, n, f1, f2, f3, f4, f5, f6, f7, f8) FROM checked WHERE ok",
+    "p1_reasons": _reasons_sql(),
     "p3_found": """
 SELECT 'kmer' AS source_table, taxid AS key_value FROM kmer WHERE taxid IS NOT NULL GROUP BY taxid HAVING count(*) >= 0.02 * (SELECT count(*) FROM kmer)
 UNION ALL

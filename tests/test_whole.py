@@ -5,6 +5,8 @@ import random
 from collections import defaultdict
 from itertools import permutations
 
+import duckdb
+
 from cladeflow.operators import extract
 from cladeflow.plans import analysis
 from cladeflow.session import table
@@ -80,7 +82,7 @@ def pipeline_tables(spark, folder):
     return report, kmers, umis, lines
 
 
-def test_denoise_significant_by_brute_force(spark, tmp_path):
+def test_denoise_counts_by_brute_force(spark, tmp_path):
     report, kmers, umis, lines = pipeline_tables(spark, tmp_path)
     total, rows, cells = defaultdict(int), defaultdict(list), defaultdict(list)
     for _, _, sample, reads, *_, rank, _, _ in report:
@@ -107,13 +109,20 @@ def test_denoise_significant_by_brute_force(spark, tmp_path):
     for sample, barcode, taxid, *_, umi in umis:
         if (sample, taxid) in real:
             want[sample, barcode, taxid].add(umi)
-    got = {(r["sample"], r["barcode"], r["taxid"]): r["counts"] for r in analysis.QUERIES["denoise_significant"](spark, str(tmp_path)).collect()}
+    got = {(r["sample"], r["barcode"], r["taxid"]): r["counts"] for r in analysis.QUERIES["denoise_counts"](spark, str(tmp_path)).collect()}
     assert got == {k: len(v) for k, v in want.items()}
     # every test rejects something here, and both domains are in
     taxids = {t for t in rows if len(t) == 3}
     assert {t[0] for _, t in real} == {"1", "2"} and taxids - truly and taxids - alike and any(p >= 0.05 for p in padj.values())
-    opened = {(r["sample"], r["barcode"], r["taxid"]) for r in analysis.QUERIES["denoise_counts"](spark, str(tmp_path)).collect()}
+    opened = {(r["sample"], r["barcode"], r["taxid"]) for r in analysis.QUERIES["denoise_lenient"](spark, str(tmp_path)).collect()}
     assert opened - set(got)
+    # the SQL, which gives no rows on small driver tables, finds the same here; it spells out ranks that these tables lack
+    con = duckdb.connect()
+    for name in ("kreport", "kmer", "umi", "cell_lines"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    con.execute("CREATE VIEW found AS " + analysis.SQL["denoise_counts"])
+    sql = {tuple(r[:3]): r[3] for r in con.execute("SELECT sample, barcode, taxid, counts FROM found").fetchall()}
+    assert sql == got and got
 
 
 def test_rpmm_covers_every_domain(spark):
