@@ -8,11 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from cladeflow.plans import analysis, problems
+from cladeflow.plans import analysis, problems, round_trips
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = problems.QUERIES | analysis.QUERIES
-SQL = problems.SQL | analysis.SQL
+QUERIES = problems.QUERIES | analysis.QUERIES | round_trips.QUERIES
+SQL = problems.SQL | analysis.SQL | round_trips.SQL
 
 
 @pytest.fixture(scope="module")
