@@ -115,9 +115,9 @@ def count_reads(koutreads: DataFrame, report: DataFrame, barcode_tag: str | None
     taxonomy = checkpointed(ancestors(report, ranks).withColumn("tax", F.monotonically_increasing_id()))
     reads = koutreads.filter(passes_quality("qual") & passes_complexity("seq")).join(taxonomy.select("taxid", "tax"), "taxid")
     sums, kmer, umi = 0, 1, 2
-    # explode_outer: from explode the optimizer would infer a condition on the lists, and so look at those of reads that
-    # the filters leave out
-    mates = reads.select(tag_value(barcode_tag).alias("barcode"), "tax", tag_value(umi_tag).alias("umi"), F.posexplode_outer(_mates("lca", "seq")).alias("mate", "x"))
+    # explode_outer and coalesce: from explode, and from a join on columns that might be null, the optimizer would infer
+    # conditions on lists and tags, and so look at those of reads that the filters leave out
+    mates = reads.select(F.coalesce(tag_value(barcode_tag), F.lit("")).alias("barcode"), "tax", tag_value(umi_tag).alias("umi"), F.posexplode_outer(_mates("lca", "seq")).alias("mate", "x"))
     mates = mates.select("barcode", "tax", "umi", "mate", F.col("x.s").alias("s"), _checked_total(F.col("x.l"), F.col("x.s")).alias("kmers"))
     # place 0 of a mate stands for its sums, place -1 of mate 1 for the UMI, the others are those of k-mers
     first = F.when(F.col("mate") == 0, F.lit(0 if umi_tag is None else -1)).otherwise(F.lit(0))
@@ -127,7 +127,7 @@ def count_reads(koutreads: DataFrame, report: DataFrame, barcode_tag: str | None
     text = F.when(i > 0, F.substr("s", i, (F.length("s") + 1 - F.col("kmers")).cast("int"))).when(i == -1, F.col("umi")).otherwise(F.col("tax").cast("string"))
     kind = F.when(i > 0, F.lit(kmer)).when(i == -1, F.lit(umi)).otherwise(F.lit(sums))
     read = F.when((i == 0) & (F.col("mate") == 0), F.lit(1)).otherwise(F.lit(0))
-    each = each.select("barcode", kind.alias("kind"), text.alias("text"), "tax", F.when(i == 0, F.col("kmers")).otherwise(F.lit(0)).alias("n"), read.alias("reads"))
+    each = each.select("barcode", kind.alias("kind"), F.coalesce(text, F.lit("")).alias("text"), "tax", F.when(i == 0, F.col("kmers")).otherwise(F.lit(0)).alias("n"), read.alias("reads"))
     value = ["barcode", "kind", "text"]
     own = each.groupBy(*value, "tax").agg(F.sum("n").alias("n"), F.sum("reads").alias("reads")).repartition(*value)
     sets = own.groupBy(*value).agg(F.min("tax").alias("low"), F.max("tax").alias("high"), F.count(F.lit(1)).alias("taxa"), F.sum("n").alias("n"), F.sum("reads").alias("reads"))

@@ -39,8 +39,10 @@ TORN = ("torn",)
 
 
 def column_of(attribute: str | None) -> str | None:
-    """The column that an attribute's spelling means, or None."""
-    return None if attribute is None else KNOWN.get(attribute.strip().lower())
+    """The column that an attribute's spelling means, or None. Letters beyond ASCII are of no attribute, whatever their
+    lower case is."""
+    name = "" if attribute is None else attribute.strip()
+    return KNOWN.get(name.lower()) if name.isascii() else None
 
 
 def observed_columns(rows: DataFrame, attribute: str) -> list[str]:

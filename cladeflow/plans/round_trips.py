@@ -13,6 +13,7 @@ from ..functions import ranges as R
 from ..operators import extract
 from ..session import ensure_checkpoint_dir, table
 from ..sources import fastq, sinks, text
+from ..streaming import reads
 from . import analysis, files
 
 #: Small splits, so that files of any size have several.
@@ -119,9 +120,9 @@ def _single_files(spark: SparkSession, sf_dir: str, at: Callable[[str], str]) ->
     rows, _ = analysis._classified_reads(spark, sf_dir)
     rows = rows.filter(F.col("status") == "C")
     length = F.min(F.struct("taxid", _flat("lca").alias("lca"), "length"))["length"].cast("int")
-    reads = rows.groupBy("id").agg(length.alias("n"))
+    lengths = rows.groupBy("id").agg(length.alias("n"))
     _write_koutput(rows, at("koutput"))
-    sinks.write_fastq(reads.select("id", F.lit(None).cast("string").alias("desc"), F.rpad(F.lit("A"), F.col("n"), F.lit("CGTA")).alias("seq"), F.lit("+").alias("sep"), F.repeat(F.lit("I"), F.col("n")).alias("qual")), at("reads"))
+    sinks.write_fastq(lengths.select("id", F.lit(None).cast("string").alias("desc"), F.rpad(F.lit("A"), F.col("n"), F.lit("CGTA")).alias("seq"), F.lit("+").alias("sep"), F.repeat(F.lit("I"), F.col("n")).alias("qual")), at("reads"))
 
 
 def koutreads_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +169,31 @@ def cell_line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(at("out"))
 
 
+def stream_umi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and distinct UMIs of each day, sample and taxid, from a stream that stores partial results."""
+    at = _place(spark)
+    events = spark.readStream.schema(table(spark, sf_dir, "umi").schema).parquet(f"{sf_dir}/umi.[p]arquet")  # a glob, as the table may be one file
+    reads.store_umis(events, at("partials"), at("progress")).awaitTermination()
+    return reads.exact_umi_counts(spark.read.parquet(at("partials")))
+
+
+def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of single reads joined with the table of their classifications."""
+    at = _place(spark)
+    rows, singles = analysis._classified_reads(spark, sf_dir)
+    singles.write.parquet(at("reads"))
+    events = spark.readStream.schema(singles.schema).parquet(at("reads"))
+    joined = reads.join_stream(rows, events, {"UMI": R.seq_range(1, 12)})
+    flat = joined.select("id", "taxid", F.col("tags")["UMI"].alias("umi"), "lca", "seq", "qual")
+    flat.writeStream.format("parquet").option("checkpointLocation", at("progress")).trigger(availableNow=True).start(at("out")).awaitTermination()
+    return spark.read.parquet(at("out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         fastq_files, fastq_gzip_files, refined_pair_files, pair_files_in_splits, report_files, koutput_files, koutput_file_ids, koutreads_files, extract_files, extract_pair_files,
-        krcount_files, cell_line_files,
+        krcount_files, cell_line_files, stream_umi_counts, stream_join,
     )
 }
 
@@ -206,5 +227,7 @@ WHERE status = 'C' AND NOT coalesce(contains(lca, '2831896:') OR contains(lca, '
     "extract_pair_files": f"""{analysis._TREE}, {analysis._PAIRS}
 SELECT id, tags || mate1 AS seq1, mate2 AS seq2 FROM pairs WHERE id IN (SELECT id FROM named WHERE regexp_full_match(length, '[0-9]+[|:][0-9]+') AND taxid IN (SELECT taxid FROM inside))""",
     "krcount_files": f"{analysis._TREE}, {analysis._CELLS}, {analysis._UP.replace('FROM report', 'FROM inside')}, {analysis._KMERS}\n{analysis._CELL_COUNTS}",
+    "stream_umi_counts": "SELECT date_trunc('day', seen_at) AS window_start, sample_id, taxid, count(*) AS n_rows, count(DISTINCT umi) AS n_umis FROM umi WHERE seen_at IS NOT NULL GROUP BY ALL",
+    "stream_join": analysis.SQL["koutreads_join"],
     "cell_line_files": "SELECT taxid, rpmm FROM cell_lines WHERE rpmm IS NULL OR NOT isnan(rpmm)",
 }

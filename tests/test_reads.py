@@ -162,3 +162,14 @@ def test_repeated_and_odd_tags_of_koutreads(spark, tmp_path):
     p.write_text("1\tUMI:AC  UMI:GG B:x:y Q\t1:1\tA\tI\n2\t\t1:1\tA\tI\n")
     got = {r["taxid"]: r["tags"] for r in text.read_koutreads(spark, str(p)).collect()}
     assert got == {"1": {"UMI": "GG", "B": "x:y", "Q": None}, "2": {}}
+
+
+def test_late_rows_count_exactly(spark, tmp_path):
+    schema = "sample_id string, taxid string, umi string, seen_at timestamp"
+    day = lambda d, *umis: spark.createDataFrame([("s", "t", u, None) for u in umis], schema).withColumn("seen_at", F.lit(f"2025-01-{d:02} 10:00:00").cast("timestamp"))
+    path, progress = str(tmp_path / "partials"), str(tmp_path / "progress")
+    for rows in (day(1, "a", "b"), day(20, "c"), day(1, "a", "d", None)):  # the last come weeks late
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        streaming.store_umis(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), path, progress).awaitTermination()
+    got = {r["window_start"].day: (r["n_rows"], r["n_umis"]) for r in streaming.exact_umi_counts(spark.read.parquet(path)).collect()}
+    assert got == {1: (5, 3), 20: (1, 1)}

@@ -55,3 +55,12 @@ def test_empty_and_hot_entity(spark):
     data = [(7, "P", "x" * 100_000)] + [(7, r.choice(["P", "p", "phylum "]), "x" * 100_000)] * 20 + [(i % 3, "C", "y") for i in range(3000)]
     got = {x["umi_id"]: x for x in wide.wide_rows(spark.createDataFrame(data, "umi_id long, ranks string, taxon string")).collect()}
     assert got[7]["phylum"] == "x" * 100_000 and got[0]["class"] == "y"
+
+
+def test_letters_beyond_ascii_are_of_no_attribute(spark):
+    kelvin = "\u212a"  # its lower case is k
+    assert wide.column_of(kelvin) is None and wide.column_of(" \u2003K1\u00a0") == "kingdom1"
+    for other in ("s", "k"):
+        df = spark.createDataFrame([(1, kelvin, "x"), (1, other, "y")], "umi_id long, ranks string, taxon string")
+        row = wide.wide_rows(df, columns=["kingdom", "species"]).first()
+        assert (row["kingdom"], row["species"], row["torn"]) == (("y", None, []) if other == "k" else (None, "y", []))
