@@ -164,7 +164,7 @@ def compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, k: int) ->
 def pack(node: np.ndarray, count: np.ndarray) -> bytes:
     """One digest (nodes sorted) as bytes: differences of nodes and counts, equal bytes of all numbers together, deflated."""
     steps, counts = np.diff(node, prepend=0).astype("<u4"), count.astype("<u8")
-    planes = [x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (steps, counts)]
+    planes = [x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in (steps, counts)]
     return zlib.compress(b"".join(planes), 1)
 
 
