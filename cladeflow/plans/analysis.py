@@ -65,13 +65,11 @@ def select_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.select_taxa(_report(spark, sf_dir), taxa=[_domain(spark, sf_dir), None], taxids=[None, first.agg(F.min("taxid")).first()[0]])
 
 
-def _report_ranks(report: DataFrame) -> list[str]:
-    """Rank codes of a report's rows; a few dozen."""
-    return sorted(r["rank"] for r in report.filter(F.col("rank").rlike("^[RDKPCOFGS][0-9]*$")).select("rank").distinct().collect())
-
-
 def rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.rank_columns(_report(spark, sf_dir), _report_ranks(table(spark, sf_dir, "kreport")), ["report_id", "row_id", "taxid"])
+    """The lineages' names with a column for every rank that occurs in reports or in UMIs' lineages."""
+    own = table(spark, sf_dir, "kreport").select(F.array("rank").alias("ranks"))
+    ranks = denoise.observed_ranks(own.unionByName(table(spark, sf_dir, "umi").select("ranks")))
+    return taxonomy.rank_columns(_report(spark, sf_dir), ranks, ["report_id", "row_id", "taxid"])
 
 
 def rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,8 +258,8 @@ def taxa_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports as samples."""
-    return _report(spark, sf_dir).withColumn("sample", F.col("report_id").cast("string"))
+    """Reports as samples. Their lineages are made once: the tests look at them several times."""
+    return checkpointed(_report(spark, sf_dir).withColumn("sample", F.col("report_id").cast("string")))
 
 
 def _microbes(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -301,10 +299,10 @@ def quantile_unmatched_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantile_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test of all domains against the 0.95 quantile, to each side."""
-    out = None
+    out, samples, taxa = None, _samples(spark, sf_dir), _domains(spark, sf_dir)
+    lines = table(spark, sf_dir, "cell_lines").filter(~F.isnan("rpmm"))
     for side in ("less", "greater", "two.sided"):
-        lines = table(spark, sf_dir, "cell_lines").filter(~F.isnan("rpmm"))
-        p = denoise.quantile_test(_samples(spark, sf_dir), lines, taxa=_domains(spark, sf_dir), alternative=side).pvalues
+        p = denoise.quantile_test(samples, lines, taxa=taxa, alternative=side).pvalues
         p = p.select(F.lit(side).alias("alternative"), "taxid", "taxon", "reference", F.round("pvalue", 9).alias("pvalue"))
         out = p if out is None else out.unionByName(p)
     return out
@@ -377,7 +375,7 @@ def barcode_level_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _denoised(spark: SparkSession, sf_dir: str, **limits: object) -> DataFrame:
-    reports = _report(spark, sf_dir).withColumnRenamed("sample_id", "sample")
+    reports = checkpointed(_report(spark, sf_dir).withColumnRenamed("sample_id", "sample"))
     kmers = table(spark, sf_dir, "kmer").withColumnsRenamed({"taxa": "taxon", "sample_id": "sample"})
     umis = table(spark, sf_dir, "umi").withColumnRenamed("sample_id", "sample")
     lines = table(spark, sf_dir, "cell_lines").filter(~F.isnan("rpmm"))
