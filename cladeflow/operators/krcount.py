@@ -135,8 +135,14 @@ def count_reads(koutreads: DataFrame, report: DataFrame, barcode_tag: str | None
     # two taxids at most are all told by the least and the greatest; only sets of more are gathered
     few = sets.filter("taxa <= 2").groupBy("barcode", "kind", "low", "high").agg(different, F.sum("n").alias("n"), F.sum("reads").alias("reads"))
     few = few.withColumn("set", F.array_distinct(F.array("low", "high"))).drop("low", "high")
-    many = own.join(sets.filter("taxa > 2").select(*value).hint("shuffle_hash"), value, "left_semi").groupBy(*value).agg(F.sort_array(F.collect_set("tax")).alias("set"))
-    many = many.groupBy("barcode", "kind", "set").agg(different).withColumns({"n": F.lit(0).cast("bigint"), "reads": F.lit(0).cast("bigint")})
+    # all columns of the shuffle are used on either side, so that the plan has it once
+    large = sets.filter("taxa > 2 AND low < high").select(*value, F.col("n").alias("n_all"), F.col("reads").alias("reads_all"))
+    gathered = own.join(large.hint("shuffle_hash"), value).groupBy(*value).agg(
+        F.sort_array(F.collect_set("tax")).alias("set"),
+        F.greatest(F.sum("n"), F.max("n_all")).alias("n"),
+        F.greatest(F.sum("reads"), F.max("reads_all")).alias("reads"),
+    )
+    many = gathered.groupBy("barcode", "kind", "set").agg(different, F.sum("n").alias("n"), F.sum("reads").alias("reads"))
     counts = few.unionByName(many).withColumn("tax", F.explode("set"))
     up = counts.join(taxonomy.select("tax", "ancestors"), "tax").drop("tax")
     up = up.withColumn("ancestor", F.explode("ancestors")).drop("ancestors").distinct()
